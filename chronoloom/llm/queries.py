@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, line_dedup, piece_count, sharding, simhash, token_output
+from . import byte_bpe, decontaminate, embedding_dedup, language_id, line_dedup, piece_count, sharding, simhash, substring_dedup, token_output
 from .common import documents, fresh_dir
 
 
@@ -30,6 +30,12 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", n_bytes.alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = language_id.identify(docs.select("doc_id", "text"), language_id.train(docs))
+    return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     encoded = byte_bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), path)
@@ -62,19 +68,47 @@ FROM keyed GROUP BY doc_id
 """
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embedding_dedup.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), least=0.95)
+    return found.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir), words=3, max_bits=3)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontaminate.find_hits(docs, benchmark, window=13)
+    n_hit, n_words = decontaminate.hit_words("hits.runs"), F.col("hits.n_words")
+    return found.select(
+        "doc_id",
+        n_words.alias("n_words"),
+        n_hit.alias("n_hit"),
+        F.size("hits.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("hits.items", ","), 256).alias("items_sha256"),
+        decontaminate.contaminated(n_hit, n_words, 20).alias("contaminated"),
+    )
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = substring_dedup.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"), window=20)
+    return made.select("doc_id", "n_words", "n_removed", F.sha2("kept_words", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_output": op1_token_output,
         "op2_sharding": op2_sharding,
         "op3_token_counts": op3_token_counts,
+        "op4_language_id": op4_language_id,
         "op5_byte_bpe": op5_byte_bpe,
         "op6_line_dedup": op6_line_dedup,
+        "op7_embedding_dedup": op7_embedding_dedup,
         "op8_simhash": op8_simhash,
+        "op9_decontamination": op9_decontamination,
+        "op10_substring_dedup": op10_substring_dedup,
     }
 
 
