@@ -51,7 +51,12 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd factor modulo 2**64, and of its inverse."""
     factor = 0x100000001B3
     inverse = pow(factor, -1, 1 << 64)
-    return tuple(np.cumprod(np.concatenate([[1], np.full(size - 1, f, np.uint64)]).astype(np.uint64)) for f in (factor, inverse))
+    made = []
+    for f in (factor, inverse):
+        steps = np.full(size, f, np.uint64)
+        steps[0] = 1
+        made.append(np.cumprod(steps, dtype=np.uint64))
+    return tuple(made)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -74,28 +79,34 @@ def word_hashes(data: bytes) -> np.ndarray:
     return _mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * _ODD)
 
 
-def window_prefixes(words: np.ndarray, window: int, prefix: int) -> np.ndarray:
-    """For each window the smallest hash of its ``prefix``-word sequences."""
-    if len(words) < window:
-        return np.empty(0, np.uint64)
+def sequence_hashes(words: np.ndarray, prefix: int) -> np.ndarray:
     n = len(words) - prefix + 1
     grams = words[:n].copy()
     for k in range(1, prefix):
         grams = grams * _ODD + words[k : n + k]
-    least, span, width = _mix(grams), 1, window - prefix + 1
+    return _mix(grams)
+
+
+def _sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
+    n, span = len(x) - width + 1, 1
     while 2 * span <= width:
-        least = np.minimum(least[:-span], least[span:])
+        x = np.minimum(x[:-span], x[span:])
         span *= 2
-    return np.minimum(least[: len(words) - window + 1], least[width - span : width - span + len(words) - window + 1])
+    return np.minimum(x[:n], x[width - span : width - span + n])
 
 
-def prefix_runs(data: bytes, window: int, prefix: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of neighbouring windows with one prefix: (prefix, first window, windows)."""
-    least = window_prefixes(word_hashes(data), window, prefix)
-    if not len(least):
-        return least, np.empty(0, np.int64), np.empty(0, np.int64)
+def prefix_runs(data: bytes, window: int, prefix: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of neighbouring windows with one prefix, the smallest hash of their sequences of ``prefix`` words:
+    (prefix, first window, windows, whether the prefix is in the text more than once)."""
+    words = word_hashes(data)
+    if len(words) < window:
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
+    grams = sequence_hashes(words, prefix)
+    least = _sliding_minimum(grams, window - prefix + 1)
     starts = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-    return least[starts], starts, np.diff(np.concatenate([starts, [len(least)]]))
+    key, ordered = least[starts], np.sort(grams)
+    again = np.searchsorted(ordered, key, "right") - np.searchsorted(ordered, key) > 1
+    return key, starts, np.diff(np.concatenate([starts, [len(least)]])), again
 
 
 def _bytes(text: str | None) -> bytes:
@@ -115,8 +126,9 @@ def _occurrences(window: int, prefix: int):
                         pa.array(np.concatenate([f[0] for f in found]).view(np.int64)),
                         pa.array(of),
                         pa.array(np.concatenate([f[1] for f in found]).astype(np.int32)),
+                        pa.array(np.concatenate([f[3] for f in found])),
                     ],
-                    ["prefix", "a", "start"],
+                    ["prefix", "a", "start", "again"],
                 )
 
     return run
@@ -136,7 +148,7 @@ def _segments(window: int, prefix: int):
             columns = (batch.column(c) for c in ("text", "doc", "a", "starts", "hot"))
             for text, doc, a, starts, hot in zip(*columns, strict=True):
                 data = _bytes(text.as_py())
-                key, first, many = prefix_runs(data, window, prefix)
+                key, first, many, _ = prefix_runs(data, window, prefix)
                 wanted = dict(zip(starts.as_py(), hot.as_py(), strict=True))
                 words, doc, a = data.split(), doc.as_py(), a.as_py()
                 for p, s, n in zip(key.view(np.int64).tolist(), first.tolist(), many.tolist(), strict=True):
@@ -209,10 +221,10 @@ def repeated_windows(docs: DataFrame, window: int = 20, prefix: int = PREFIX, gr
     [start, length, ...] of the words of that document that repeated windows cover (null: none)."""
     n = partitions(docs.sparkSession)
     firsts = materialise(docs.groupBy("a", "b").agg(F.min("doc").alias("first")), "first-copies")
-    seen = materialise(docs.select("a", "text").mapInArrow(_occurrences(window, prefix), "prefix long, a long, start int"), "prefixes")
+    seen = materialise(docs.select("a", "text").mapInArrow(_occurrences(window, prefix), "prefix long, a long, start int, again boolean"), "prefixes")
     place = F.xxhash64("a", "start")
-    several = seen.groupBy("prefix").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.count(F.lit(1)).alias("n"))
-    several = materialise(several.where(F.col("low") != F.col("high")).select("prefix", (F.col("n") > group).alias("hot")), "repeated-prefixes")
+    several = seen.groupBy("prefix").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.count(F.lit(1)).alias("n"), F.max("again").alias("again"))
+    several = materialise(several.where((F.col("low") != F.col("high")) | F.col("again")).select("prefix", (F.col("n") > group).alias("hot")), "repeated-prefixes")
     found = seen.join(several, "prefix").groupBy("a").agg(F.collect_set(F.struct("start", "hot")).alias("at"))
     wanted = materialise(firsts.join(found, "a").select("a", "b", "first", F.col("at.start").alias("starts"), F.col("at.hot").alias("hot")), "repeated-places")
     of = wanted.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "first", "starts", "hot")
