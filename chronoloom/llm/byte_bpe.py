@@ -71,7 +71,7 @@ class ByteLevelTokenizer:
         self.token_bytes = token_bytes
         self.byte_lens = np.array([len(b) for b in token_bytes], np.int64)
         self.dtype = np.dtype("<u2" if len(token_bytes) <= 1 << 16 else "<u4")
-        self.cache = PieceCache(self._pieces, self._whole, b"".join, marks={m: self._whole(m) for m in ",."})
+        self.cache = PieceCache(self._spaced, self._other, self._whole, b"".join, marks={m: self._whole(m) for m in ",."})
 
     @classmethod
     def from_json(cls, path: str) -> ByteLevelTokenizer:
@@ -112,31 +112,23 @@ class ByteLevelTokenizer:
     def _whole(self, text: str) -> bytes:
         return self._ids(text).tobytes()
 
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        """Pieces that start with white space follow one another in one text; their ids part at their bytes."""
-        out: list[bytes] = [b""] * len(pieces)
-        run, size = [], 0
-        for i, p in enumerate(pieces):
-            if not p[0].isspace():
-                out[i] = self._whole(p)
-                continue
-            run.append(i)
-            size += len(p)
-            if size > 2_000:
-                self._run(pieces, run, out)
-                run, size = [], 0
-        if run:
-            self._run(pieces, run, out)
-        return out
-
-    def _run(self, pieces: list[str], run: list[int], out: list[bytes]) -> None:
-        ids = self._ids("".join([pieces[i] for i in run]))
-        ends = np.cumsum(np.array([len(pieces[i].encode("utf-8", "surrogatepass")) for i in run], np.int64))
-        at = np.searchsorted(np.cumsum(self.byte_lens[ids]), ends, side="right")
-        data, width, before = ids.tobytes(), self.dtype.itemsize, 0
-        for i, end in zip(run, (at * width).tolist(), strict=True):
-            out[i] = data[before:end]
-            before = end
+    def _spaced(self, words: list[str]) -> list[bytes]:
+        """Words with a space before each, as one text; their ids part at their bytes."""
+        return [x for at in range(0, len(words), 300) for x in self._run(" " + " ".join(words[at : at + 300]), words[at : at + 300], 1)]
+
+    def _other(self, pieces: list[str]) -> list[bytes]:
+        lines = [p for p in pieces if p[0] == "\n"]
+        made = iter([x for at in range(0, len(lines), 300) for x in self._run("".join(lines[at : at + 300]), lines[at : at + 300], 0)])
+        return [next(made) if p[0] == "\n" else self._whole(p) for p in pieces]
+
+    def _run(self, text: str, pieces: list[str], before: int) -> list[bytes]:
+        """The ids of each piece of ``text``, which has ``before`` more bytes ahead of each."""
+        ids = self._ids(text)
+        lens = map(len, pieces) if text.isascii() else [len(p.encode("utf-8", "surrogatepass")) for p in pieces]
+        ends = np.cumsum(np.fromiter(lens, np.int64, len(pieces)) + before)
+        at = np.searchsorted(np.cumsum(self.byte_lens[ids]), ends, side="right") * self.dtype.itemsize
+        data, after = ids.tobytes(), at.tolist()
+        return [data[a:b] for a, b in zip([0, *after], after, strict=False)]
 
     def encode_packed(self, texts: list) -> list[bytes]:
         """Per text its ids as little-endian integers of ``dtype``."""

@@ -10,12 +10,16 @@ other arrangement of white space is handed over whole.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 #: Pieces that a cache holds before it starts afresh; bounds a worker's memory, not the result.
 CACHE_ENTRIES = 600_000
 #: Longer pieces are not kept.
 CACHE_CHARS = 200
+#: Keys that say nothing of their own, and white space that keys may still hold.
+_BLANK = {"", " ", "\n", "\n "}
+_OTHER_SPACE = re.compile(r"[^\S \n]")
 
 
 def cut(text: str) -> list[str]:
@@ -26,13 +30,6 @@ def cut(text: str) -> list[str]:
     return keys
 
 
-def piece(key: str) -> str:
-    """The text that a key stands for."""
-    if key[-1] == " ":
-        return key[:-1]
-    return key if key[0] == "\n" else " " + key
-
-
 def safe(key: str) -> bool:
     """Whether a cut on both sides of the piece is certainly exact, from the piece alone."""
     bare = key[:-1] if key[-1:] == " " else key[1:] if key[:1] == "\n" else key
@@ -40,56 +37,69 @@ def safe(key: str) -> bool:
 
 
 class PieceCache:
-    """Encodes texts piece by piece; ``encode_many`` sees each distinct piece once while it is remembered.
+    """Encodes texts piece by piece; each distinct piece is encoded once while it is remembered.
 
-    ``encode_many(pieces)`` gives one value per piece; ``encode_whole(text)``
-    serves texts that can't be cut; ``join(values)`` makes a text's value.
-    ``marks``: characters that are always cut off when they end a piece after a letter, and their values.
+    ``encode_spaced(words)`` gives one value for each word with a space before
+    it, ``encode_other(pieces)`` for pieces that start a text or with a newline;
+    ``encode_whole(text)`` serves texts that can't be cut; ``join(values)``
+    makes a text's value.  ``marks``: characters that are always cut off when
+    they end a piece after a letter, and their values.
     """
 
-    def __init__(self, encode_many: Callable, encode_whole: Callable, join: Callable, marks: dict | None = None, limit: int = CACHE_ENTRIES):
-        self.encode_many, self.encode_whole, self.join, self.marks, self.limit = encode_many, encode_whole, join, marks or {}, limit
+    def __init__(self, encode_spaced: Callable, encode_other: Callable, encode_whole: Callable, join: Callable, marks: dict | None = None, limit: int = CACHE_ENTRIES):
+        self.encode_spaced, self.encode_other, self.encode_whole, self.join = encode_spaced, encode_other, encode_whole, join
+        self.marks, self.limit = marks or {}, limit
         self.known: dict = {}
 
     def encode(self, texts: list) -> list:
         if len(self.known) > self.limit:
             self.known.clear()
-        known = self.known
-        keyed = [cut(t) if t else None for t in texts]
-        need = set().union(*(k for k in keyed if k is not None)).difference(known)
-        extra = {k: v for k, v in self._fresh(need) if len(k) > CACHE_CHARS} if need else None
-        out = []
-        for text, keys in zip(texts, keyed, strict=True):
-            if keys is None:
-                out.append(self.join(()))
-                continue
-            try:
-                if extra:
-                    out.append(self.join([known[k] if k in known else extra[k] for k in keys]))
-                else:
-                    out.append(self.join(map(known.__getitem__, keys)))
-            except KeyError:
-                out.append(self.encode_whole(text))
+        keys: list[str] = []
+        ends = []
+        for t in texts:
+            if t:
+                keys += cut(t)
+            ends.append(len(keys))
+        values = list(map(self.known.get, keys))
+        missing = [i for i, v in enumerate(values) if v is None]
+        if missing:
+            fresh = self._fresh({keys[i] for i in missing})
+            for i in missing:
+                values[i] = fresh.get(keys[i])
+        out, at = [], 0
+        for text, end in zip(texts, ends, strict=True):
+            part = values[at:end]
+            at = end
+            out.append(self.encode_whole(text) if missing and None in part else self.join(part))
         return out
 
-    def _fresh(self, need: set) -> list:
-        """Encodes pieces not seen before; a mark at a word's end is a piece of its own where ``marks`` says so."""
+    def _fresh(self, need: set) -> dict:
+        """Values of pieces not seen before, without those that a cut isn't sure for."""
         known, marks = self.known, self.marks
-        good = [k for k in need if safe(k)]
-        if marks:
-            ending = [k for k in good if k[-1] in marks and k[-2:-1].isalpha()]
-            bases = {k[:-1] for k in ending}.difference(known).difference(need)
-            direct = [k for k in good if not (k[-1] in marks and k[-2:-1].isalpha())]
-            direct.extend(bases)
-        else:
-            ending, direct = [], good
-        fresh = list(zip(direct, self.encode_many([piece(k) for k in direct]), strict=True))
+        plain = need.isdisjoint(_BLANK) and not _OTHER_SPACE.search("".join(need))
+        spaced, other, ending = [], [], []
+        bases = set()
+        for k in need if plain else filter(safe, need):
+            last = k[-1]
+            if last in marks and k[-2:-1].isalpha():
+                base = k[:-1]
+                ending.append((k, base, last))
+                bases.add(base)
+            elif last == " " or k[0] == "\n":
+                other.append(k)
+            else:
+                spaced.append(k)
+        for k in bases.difference(known, need):
+            (other if k[0] == "\n" else spaced).append(k)
+        fresh = dict(zip(spaced, self.encode_spaced(spaced), strict=True))
+        if other:
+            fresh.update(zip(other, self.encode_other([k.removesuffix(" ") for k in other]), strict=True))
+        for k, base, last in ending:
+            of = fresh.get(base)
+            fresh[k] = self.join((known[base] if of is None else of, marks[last]))
         known.update(fresh)
-        if ending:
-            more = [(k, self.join((known[k[:-1]], marks[k[-1]]))) for k in ending]
-            known.update(more)
-            fresh += more
-        for k, _ in fresh:
-            if len(k) > CACHE_CHARS:
-                known.pop(k, None)
+        if max(map(len, fresh), default=0) > CACHE_CHARS:
+            for k in fresh:
+                if len(k) > CACHE_CHARS:
+                    del known[k]
         return fresh

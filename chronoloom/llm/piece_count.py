@@ -54,7 +54,7 @@ class PieceCounter:
         merged = {c for p in self.rank if len(p) > 1 for c in p}
         self.newline_alone = "\n" not in merged
         marks = {c: self.count(c) for c in ",." if not self._joins(c)}
-        self.cache = PieceCache(self._many, self.whole, sum, marks=marks, limit=400_000)
+        self.cache = PieceCache(self._spaced, self._other, self.whole, sum, marks=marks, limit=400_000)
 
     def _joins(self, mark: str) -> bool:
         """Whether a piece holds the character right after a letter, so that it can't be cut off there."""
@@ -114,9 +114,12 @@ class PieceCounter:
             return self.count(marked)
         return sum(self.count(part) for part in _parts(marked))
 
-    def _many(self, pieces: list[str]) -> list[int]:
-        """Pieces of the cache: with a space or newline before them, or a text's first, which gets the mark."""
-        return [self.count(p.replace(" ", MARK) if p[0] in " \n" else MARK + p) for p in pieces]
+    def _spaced(self, words: list[str]) -> list[int]:
+        return [self.count(MARK + w) for w in words]
+
+    def _other(self, pieces: list[str]) -> list[int]:
+        """Pieces after a newline, or those that start a text and get the mark."""
+        return [self.count(p if p[0] == "\n" else MARK + p) for p in pieces]
 
     def counts(self, texts: list) -> list[int]:
         """Tokens of each text; the mark that the model puts before a text makes its first word like any other."""

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,11 +43,13 @@ def _stage(docs: DataFrame, path: str, end_id: int | None) -> DataFrame:
         tok = tokenizer(path)
         tail = np.array([] if end_id is None else [end_id], tok.dtype).tobytes()
         part, seq, before = TaskContext.get().partitionId(), 0, 0
+        counts = np.zeros(len(tok.token_bytes), np.int64)
         for batch in batches:
             names, at = batch.column("doc_id"), 0
             for texts in slices(batch.column("text")):
                 packed = [x + tail for x in tok.encode_packed(texts)]
                 n = np.array([len(x) for x in packed], np.int64) // tok.dtype.itemsize
+                counts += np.bincount(np.frombuffer(b"".join(packed), tok.dtype), minlength=len(counts))
                 sums = before + np.cumsum(n) - n
                 rows = len(packed)
                 yield pa.RecordBatch.from_arrays(
@@ -61,27 +64,33 @@ def _stage(docs: DataFrame, path: str, end_id: int | None) -> DataFrame:
                     ["part", "seq", "before", "doc_id", "n", "ids"],
                 )
                 at, seq, before = at + rows, seq + rows, before + int(n.sum())
+        used = np.flatnonzero(counts)  # a row for each id that the part has, in place of a document
+        rows = len(used)
+        same = lambda value, kind: pa.array(np.full(rows, value, kind))
+        yield pa.RecordBatch.from_arrays(
+            [same(part, np.int32), same(-1, np.int64), same(0, np.int64), pa.array(used), pa.array(counts[used]), pa.nulls(rows, pa.binary())],
+            ["part", "seq", "before", "doc_id", "n", "ids"],
+        )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id").mapInArrow(run, _STAGE)
+    n = partitions(spark)
+    # limits from the ids alone: Spark's own range exchange would read all texts for its sample
+    limits = rows.select("doc_id").approxQuantile("doc_id", [k / n for k in range(1, n)], 0.1 / n) if n > 1 else []
+    inner = np.array(sorted(set(limits)), np.float64)
 
+    @F.arrow_udf("int")
+    def place(ids: pa.Array) -> pa.Array:
+        values = pc.fill_null(pc.cast(ids, pa.float64(), safe=False), -np.inf).to_numpy(zero_copy_only=False)
+        return pa.array(np.searchsorted(inner, values, side="right").astype(np.int32))
 
-def _counts(stage: DataFrame, width: int, size: int) -> np.ndarray:
-    """How often each id occurs in all documents; a row for each id and task, summed by Spark."""
-    dtype = np.dtype(f"<u{width}")
+    return rows.repartitionById(n, place("doc_id")).sortWithinPartitions("doc_id").mapInArrow(run, _STAGE)
 
-    def run(batches):
-        total = np.zeros(size, np.int64)
-        for batch in batches:
-            for packed in slices(batch.column("ids")):
-                total += np.bincount(np.frombuffer(b"".join(packed), dtype), minlength=size)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["id", "n"])
 
-    rows = stage.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+def _counts(stage: DataFrame, size: int) -> np.ndarray:
+    """How often each id occurs in all documents: the parts' counts, summed."""
     out = np.zeros(size, np.int64)  # at most a row for each id of the vocabulary
-    for row in rows:
-        out[row.id] = row.n
+    for row in stage.where("seq < 0").groupBy("doc_id").agg(F.sum("n").alias("n")).collect():
+        out[row.doc_id] = row.n
     return out
 
 
@@ -127,7 +136,8 @@ def write_tokens(docs: DataFrame, path: str, out: str, end_id: int | None = None
     size, width = len(tok.token_bytes), tok.dtype.itemsize
     at = fresh_dir(spark, "token-ids")
     stage = write_table(_stage(docs, path, end_id), at, codec="zstd")
-    lengths = huffman.code_lengths(_counts(stage, width, size)).tobytes()
+    lengths = huffman.code_lengths(_counts(stage, size)).tobytes()
+    stage = stage.where("seq >= 0")
     base, total = {}, 0
     for row in stage.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect():  # a row for each partition
         base[row.part] = total
