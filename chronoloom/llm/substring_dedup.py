@@ -12,9 +12,10 @@ split into groups that fit into memory by prefixes of variable length:
 2. The words of the other runs go to the group of their prefix.  A group's
    suffixes, cut at ``window`` words, are sorted; equal neighbours are the
    leaves below one internal node of that depth.  The earliest stays.
-3. A prefix with more than ``GROUP`` occurrences is lengthened to the whole
-   window: its windows go by a 128-bit hash of their words to an aggregation,
-   which no hot passage can overfill.
+3. A prefix with more than ``GROUP`` occurrences is lengthened: first to whole
+   runs, of which equal ones (by a 128-bit hash of their words) but the earliest
+   repeat as they are, then, for the earliest ones, to whole windows.  Both are
+   aggregations, which no hot passage can overfill.
 
 Exact copies of a text are settled beforehand: only the first takes part, the
 others lose all words that a window covers.
@@ -135,14 +136,24 @@ def _occurrences(window: int, prefix: int):
 
 
 _SEGMENTS = "prefix long, hot boolean, h long, g long, doc long, a long, start int, n int, words binary"
+_PLACES = "doc long, a long, start int, n int"
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    names, kinds = zip(*(x.split() for x in schema.split(", ")), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, _KINDS[k]) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], list(names))
+
+
+def _hash128(data: bytes) -> tuple[int, int]:
+    d = xxhash.xxh3_128_intdigest(data)
+    return (d >> 64) - (1 << 63), (d & 2 * LAST + 1) - (1 << 63)
 
 
 def _segments(window: int, prefix: int):
-    """The words of the runs that may repeat; those of a hot prefix as the hashes of their windows."""
+    """The words of the runs that may repeat; those of a hot prefix with a hash of their words."""
 
     def run(batches):
-        names = [x.split()[0] for x in _SEGMENTS.split(", ")]
-        types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
         for batch in batches:
             rows, size = [], 0
             columns = (batch.column(c) for c in ("text", "doc", "a", "starts", "hot"))
@@ -155,18 +166,35 @@ def _segments(window: int, prefix: int):
                     is_hot = wanted.get(s)
                     if is_hot is None:
                         continue
-                    if not is_hot:
-                        rows.append((p, False, 0, 0, doc, a, s, n, b" ".join(words[s : s + n + window - 1])))
-                        size += len(rows[-1][-1])
-                        continue
-                    for i in range(s, s + n):
-                        d = xxhash.xxh3_128_intdigest(b" ".join(words[i : i + window]))
-                        rows.append((p, True, (d >> 64) - (1 << 63), (d & LAST * 2 + 1) - (1 << 63), doc, a, i, 1, None))
-                if len(rows) > 20_000 or size > 8_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+                    own = b" ".join(words[s : s + n + window - 1])
+                    rows.append((p, is_hot, *(_hash128(own) if is_hot else (0, 0)), doc, a, s, n, own))
+                    size += len(own)
+                if size > 8_000_000:
+                    yield _batch(rows, _SEGMENTS)
                     rows, size = [], 0
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+                yield _batch(rows, _SEGMENTS)
+
+    return run
+
+
+_WINDOWS = "h long, g long, doc long, a long, start int"
+
+
+def _windows(window: int):
+    """Each window of a segment by a hash of all its words."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for doc, a, start, n, data in zip(*(batch.column(c).to_pylist() for c in ("doc", "a", "start", "n", "words")), strict=True):
+                words = data.split(b" ")
+                rows += [(*_hash128(b" ".join(words[i : i + window])), doc, a, start + i) for i in range(n)]
+                if len(rows) > 50_000:
+                    yield _batch(rows, _WINDOWS)
+                    rows = []
+            if rows:
+                yield _batch(rows, _WINDOWS)
 
     return run
 
@@ -192,30 +220,36 @@ def _repeats(window: int):
 
     def run(batches):
         group: list[tuple] = []
-        out: list[tuple[int, int, int]] = []
-
-        def flush():
-            columns = zip(*out, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32()), strict=True)], ["doc", "a", "start"])
-
+        out: list[tuple[int, int, int, int]] = []
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("prefix", "doc", "a", "start", "n", "words")), strict=True):
                 if group and group[0][0] != row[0]:
                     if len(group) > 1 or group[0][4] > 1:
-                        out += _subtree(group, window)
+                        out += _stretches(_subtree(group, window))
                     group = []
                 group.append(row)
             if out:
-                yield flush()
+                yield _batch(out, _PLACES)
                 out = []
         if group:
-            out += _subtree(group, window)
+            out += _stretches(_subtree(group, window))
         if out:
-            yield flush()
+            yield _batch(out, _PLACES)
 
     return run
 
 
+def _stretches(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """Neighbouring windows of one document as (doc, a, first window, windows)."""
+    out: list[tuple[int, int, int, int]] = []
+    for doc, a, start in sorted(found):
+        if out and out[-1][:2] == (doc, a) and out[-1][2] + out[-1][3] == start:
+            out[-1] = (doc, a, out[-1][2], out[-1][3] + 1)
+        else:
+            out.append((doc, a, start, 1))
+    return out
+
+
 def repeated_windows(docs: DataFrame, window: int = 20, prefix: int = PREFIX, group: int = GROUP) -> DataFrame:
     """``docs`` (doc, a, b, text): (a, b, first, runs) for every distinct text: its first document, and
     [start, length, ...] of the words of that document that repeated windows cover (null: none)."""
@@ -232,20 +266,27 @@ def repeated_windows(docs: DataFrame, window: int = 20, prefix: int = PREFIX, gr
     segments = materialise(met.select("text", "doc", "a", "starts", "hot").mapInArrow(_segments(window, prefix), _SEGMENTS), "segments")
     cold = segments.where("NOT hot").select("prefix", "doc", "a", "start", "n", "words")
     dealt = cold.repartition(n, "prefix").sortWithinPartitions("prefix")
-    repeats = dealt.mapInArrow(_repeats(window), "doc long, a long, start int")
-    whole = segments.where("hot").select("h", "g", "doc", "a", "start")
-    earliest = materialise(whole.groupBy("h", "g").agg(F.min(F.struct("doc", "start", "a")).alias("e")), "hot-windows")
-    later = whole.join(earliest, ["h", "g"]).where(F.struct("doc", "start", "a") != F.col("e")).select("doc", "a", "start")
-    starts = repeats.unionByName(later).groupBy("doc", "a").agg(F.array_sort(F.collect_set("start")).alias("starts"))
-    gone = starts.select(F.col("doc").alias("_doc"), F.col("a").alias("_a"), _covered("starts", window).alias("runs"))
+    repeats = dealt.mapInArrow(_repeats(window), _PLACES)
+    # hot prefixes: segments with the same words but the first repeat as a whole; those first ones go by their windows
+    who = F.struct("doc", "start", "a")
+    hot = segments.where("hot").select("h", "g", "doc", "a", "start", "n", "words")
+    earliest = materialise(hot.groupBy("h", "g").agg(F.min(who).alias("e")), "hot-segments")
+    told = materialise(hot.join(earliest, ["h", "g"]).withColumn("first", who == F.col("e")).select("doc", "a", "start", "n", "first", F.when(who == F.col("e"), F.col("words")).alias("words")), "hot-told")
+    copies = told.where("NOT first").select("doc", "a", "start", "n")
+    whole = materialise(told.where("first").select("doc", "a", "start", "n", "words").mapInArrow(_windows(window), _WINDOWS), "hot-windows")
+    opening = materialise(whole.groupBy("h", "g").agg(F.min(who).alias("e"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "hot-openings")
+    later = whole.join(opening, ["h", "g"]).where(who != F.col("e")).select("doc", "a", "start", F.lit(1).alias("n"))
+    places = repeats.unionByName(copies).unionByName(later).groupBy("doc", "a").agg(F.array_sort(F.collect_set(F.struct("start", "n"))).alias("at"))
+    gone = places.select(F.col("doc").alias("_doc"), F.col("a").alias("_a"), _covered("at", window).alias("runs"))
     return firsts.join(gone, (F.col("a") == F.col("_a")) & (F.col("first") == F.col("_doc")), "left").select("a", "b", "first", "runs")
 
 
-def _covered(starts: str, window: int):
-    """Sorted window starts as runs of the words they cover."""
-    first = F.filter(starts, lambda s, i: (i == 0) | (s > F.get(starts, i - 1) + window))
-    last = F.filter(starts, lambda s, i: (i == F.size(starts) - 1) | (F.get(starts, i + 1) > s + window))
-    return F.flatten(F.zip_with(first, last, lambda a, b: F.array(a, b - a + window)))
+def _covered(places: str, window: int):
+    """Sorted stretches of windows (start, n) as runs of the words they cover."""
+    end = lambda s: s["start"] + s["n"] - 1 + window
+    first = F.filter(places, lambda s, i: (i == 0) | (s["start"] > end(F.get(places, i - 1))))
+    last = F.filter(places, lambda s, i: (i == F.size(places) - 1) | (F.get(places, i + 1)["start"] > end(s)))
+    return F.flatten(F.zip_with(first, last, lambda a, b: F.array(a["start"], end(b) - a["start"])))
 
 
 def _without(text: pa.Array, runs: pa.Array, everything: pa.Array) -> pa.Array:
