@@ -205,9 +205,9 @@ class Models:
     def calibrate(self, h: np.ndarray, truth: np.ndarray) -> None:
         """``h`` (texts x languages), ``truth`` their languages' numbers.
 
-        The temperature is the likeliest of a grid.  A text is rejected where it
-        is further from the texts calibrated on than half the way from their
-        mean to characters drawn at random, and further than any of them.
+        The temperature is the likeliest of a grid.  A text is rejected where
+        its best model does no better than characters drawn at random would,
+        and clearly worse than on any text calibrated on.
         """
         if not len(h):
             return
@@ -215,7 +215,7 @@ class Models:
         grid = 2.0 ** np.arange(-1, 10)
         loss = [(np.log(np.exp((h.min(1)[:, None] - h) * t).sum(1)) + (own - h.min(1)) * t).mean() for t in grid]
         self.temperature = float(grid[int(np.argmin(loss))])
-        self.limit = float(max((own.mean() - self.floor.mean()) / 2, own.max() * 1.1))
+        self.limit = float(max(-self.floor.mean(), own.max() * 1.1))
 
 
 def held_out(doc_id: Column) -> Column:

@@ -99,32 +99,36 @@ def _blocks(stage: DataFrame, lengths: bytes, width: int, base: dict[int, int])
 
     def run(batches):
         book = huffman.Codebook.from_bytes(lengths)
-        open_rows: list = []
+        schema = pa.schema([("part", pa.int32()), ("seq", pa.int64()), ("start", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("data", pa.binary())])
+        rows: list[tuple] = []  # part, seq, before, doc_id, n of the documents of the open block
+        views: list[np.ndarray] = []
         tokens = 0
 
         def close():
-            part, seq, before = open_rows[0][:3]
-            ids = np.frombuffer(b"".join([r[5] for r in open_rows]), dtype)
-            data = huffman.encode_block(book, ids, np.array([r[4] for r in open_rows], np.int64))
-            return {"part": part, "seq": seq, "start": base[part] + before, "doc_ids": [r[3] for r in open_rows], "data": data}
-
-        def batch_of(blocks):
-            schema = pa.schema([("part", pa.int32()), ("seq", pa.int64()), ("start", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("data", pa.binary())])
-            return pa.RecordBatch.from_pylist(blocks, schema)
+            part, seq, before = rows[0][:3]
+            data = huffman.encode_block(book, np.concatenate(views), np.array([r[4] for r in rows], np.int64))
+            return {"part": part, "seq": seq, "start": base[part] + before, "doc_ids": [r[3] for r in rows], "data": data}
 
         for batch in batches:
-            done = []
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            ids, done = batch.column("ids"), []
+            wide = np.int64 if pa.types.is_large_binary(ids.type) else np.int32
+            at = np.frombuffer(ids.buffers()[1], wide)[ids.offset : ids.offset + len(ids) + 1] // dtype.itemsize if len(ids) else [0]
+            values = np.frombuffer(ids.buffers()[2] or b"", np.uint8)
+            values = values[: len(values) // dtype.itemsize * dtype.itemsize].view(dtype)
+            names = ("part", "seq", "before", "doc_id", "n")
+            for i, row in enumerate(zip(*(batch.column(c).to_pylist() for c in names), strict=True)):
                 # a block's documents follow one another without a gap
-                if open_rows and (tokens >= BLOCK_TOKENS or (row[0], row[1]) != (open_rows[-1][0], open_rows[-1][1] + 1)):
+                if rows and (tokens >= BLOCK_TOKENS or (row[0], row[1]) != (rows[-1][0], rows[-1][1] + 1)):
                     done.append(close())
-                    open_rows, tokens = [], 0
-                open_rows.append(row)
+                    rows, views, tokens = [], [], 0
+                rows.append(row)
+                views.append(values[at[i] : at[i + 1]])
                 tokens += row[4]
+            views = [v.copy() for v in views]  # what stays open outlives the batch
             if done:
-                yield batch_of(done)
-        if open_rows:
-            yield batch_of([close()])
+                yield pa.RecordBatch.from_pylist(done, schema)
+        if rows:
+            yield pa.RecordBatch.from_pylist([close()], schema)
 
     return stage.mapInArrow(run, _BLOCKS)
 
