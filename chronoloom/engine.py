@@ -13,10 +13,11 @@ from .operators import query as qu
 from .operators import reconcile as rc
 from .operators.cluster_keys import cluster_keys
 from .operators.golden import golden
-from .operators.keys import key_rows, route
+from .operators.keys import key_rows, key_text, route
 from .operators.linking import LinkOptions, linker_metrics, merge_log, resolve
 from .plans.ontology import Ontology
 from .sources import records as src
+from .sources.shared import local_frame, materialise
 from .sources.store import SnapshotStore
 
 
@@ -40,7 +41,7 @@ class Engine:
 
     def _table(self, name: str, schema: str) -> DataFrame:
         found = self.store.load(name)
-        return found if found is not None else self.spark.createDataFrame([], schema)
+        return found if found is not None else local_frame(self.spark, [], schema)
 
     @property
     def records(self) -> DataFrame:
@@ -79,7 +80,7 @@ class Engine:
             fresh = src.number_records(fresh.withColumnRenamed("record_id", "_index"), top, "_index")
         else:
             fresh = fresh.withColumn("_index", F.col("record_id"))
-        fresh = fresh.checkpoint()
+        fresh = materialise(fresh)
         added = rows.withColumnRenamed("record_id", "_index").join(fresh.select("_index", "record_id"), "_index").drop("_index").select(*described.columns)
         records = stored.unionByName(fresh.drop("_index").select(*stored.columns))
         descriptors = described.unionByName(added)
@@ -97,18 +98,31 @@ class Engine:
         return before.join(touched, "record_id", "left_anti").unionByName(part)
 
     def _reach(self, records: DataFrame, descriptors: DataFrame, fresh: DataFrame) -> DataFrame:
-        from .operators.components import connected_components
-        from .operators.keys import key_text
-
-        rows = key_rows(records, descriptors, self.ontology).select("record_id", key_text(F.col("entity_type"), F.col("key_values")).alias("k")).distinct().checkpoint()
-        first = rows.groupBy("k").agg(F.min("record_id").alias("b"))
-        found = connected_components(rows.join(first, "k").select(F.col("record_id").alias("a"), "b"))
-        mine = found.join(fresh.withColumnRenamed("record_id", "node"), "node", "left_semi").select("component").distinct()
-        return found.join(mine, "component", "left_semi").select(F.col("node").alias("record_id")).union(fresh).distinct().checkpoint()
+        """Records that shared key values connect to the new ones, found by widening from these; the rest is untouched."""
+        rows = materialise(key_rows(records, descriptors, self.ontology).select("record_id", key_text(F.col("entity_type"), F.col("key_values")).alias("k")).distinct())
+        found, edge = fresh, fresh
+        while True:
+            values = rows.join(edge, "record_id", "left_semi").select("k").distinct()
+            edge = materialise(rows.join(values, "k", "left_semi").select("record_id").distinct().join(found, "record_id", "left_anti"))
+            if edge.isEmpty():
+                return found
+            found = found.union(edge)
 
     def affected_clusters(self, record_ids: DataFrame) -> DataFrame:
         return self.assignments.join(record_ids, "record_id", "left_semi").select("cluster_id").distinct()
 
+    def save_conflicts(self) -> int:
+        """Stores the summaries of all conflicts with the snapshot."""
+        told = cf.summarize(self.observations(), self.records)
+        return self.store.save({"records": self.records, "descriptors": self.descriptors, "assignments": self.assignments, "conflicts": told}, ontology=self.ontology.to_json())
+
+    def saved_conflicts(self) -> DataFrame | None:
+        return self.store.load("conflicts")
+
+    def move_range(self, other: Engine, start: int, end: int) -> int:
+        """Hands a range of record ids to another engine, which links them anew; what it has already stays."""
+        return other.import_(self.export(start, end)).inserted
+
     # ---- answers ----
 
     def golden(self) -> DataFrame:
@@ -156,5 +170,13 @@ class Engine:
         strong = rc.perspective_strong_hashes(self.records, self.descriptors, self.assignments, self.ontology.strong_attributes)
         return rc.boundary_index(key_rows(self.records, self.descriptors, self.ontology), self.assignments, placed, strong)
 
+    def dirty_keys(self, before: DataFrame | None, shards: int) -> DataFrame:
+        return rc.dirty_keys(before, self.boundary_index(shards))
+
+    def apply_merges(self, merges: DataFrame) -> int:
+        """Stores the assignments after merges across shards."""
+        moved = rc.apply_merges(self.assignments, merges)
+        return self.store.save({"records": self.records, "descriptors": self.descriptors, "assignments": moved}, ontology=self.ontology.to_json())
+
     def reconcile(self, boundaries: DataFrame, dirty: DataFrame | None = None) -> rc.Reconciliation:
         return rc.reconcile(boundaries, dirty)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import materialise
+
 
 def _rounds(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select("b", "a"))
@@ -18,16 +20,16 @@ def _rounds(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``edges`` (a, b) of longs: (node, component), the component being the smallest node.
 
-    Every round is checkpointed; the links are compared by a count and a sum of
+    Every round is written as a table; the links are compared by a count and a sum of
     hashes, so nothing else reaches the driver.
     """
-    now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()
+    now = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     for _ in range(max_rounds):
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())
-        before, now = mark, _rounds(now).checkpoint()
+        before, now = mark, materialise(_rounds(now))
     raise RuntimeError(f"components not settled after {max_rounds} rounds")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import interval as iv
 from ..plans.ontology import ConstraintKind, Ontology
+from ..sources.shared import local_frame
 from .golden import cluster_values
 from .intervals import coalesce_intervals, segments, with_islands
 
@@ -107,7 +108,7 @@ def indirect_conflicts(records: DataFrame, descriptors: DataFrame, assignments:
         joined = hits.join(spans, "cluster_id", "left")
         out.append(joined.select("cluster_id", "key_name", "key_text", F.coalesce("start_ts", F.lit(0)).cast("long").alias("start_ts"), F.coalesce("end_ts", F.lit(1)).cast("long").alias("end_ts")))
     if not out:
-        return records.sparkSession.createDataFrame([], "cluster_id long, key_name string, key_text string, start_ts long, end_ts long, status string")
+        return local_frame(records.sparkSession, [], "cluster_id long, key_name string, key_text string, start_ts long, end_ts long, status string")
     made = reduce(DataFrame.unionByName, out)
     if target is None:
         return made.withColumn("status", F.lit("auto_resolved"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import interval as iv
 from ..plans.ontology import Ontology
+from ..sources.shared import local_frame
 from .cluster_keys import cluster_keys
 from .conflicts import direct_conflicts
 from .golden import golden, golden_json
@@ -23,11 +24,11 @@ class KnowledgeGraph:
     conflicts_with: DataFrame
 
     def counts(self) -> DataFrame:
-        parts = [f.select(F.lit(name).alias("part")) for name, f in (("nodes", self.nodes), ("same_as", self.same_as), ("conflicts_with", self.conflicts_with))]
-        return parts[0].union(parts[1]).union(parts[2]).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+        nodes, same, conflicts = [f.agg(F.lit(name).alias("part"), F.count(F.lit(1)).alias("n")) for name, f in (("nodes", self.nodes), ("same_as", self.same_as), ("conflicts_with", self.conflicts_with))]
+        return nodes.union(same).union(conflicts)
 
     def metadata(self, version: str = "1.0") -> DataFrame:
-        return self.counts().select(F.concat("part", F.lit("_count")).alias("name"), F.col("n").cast("string").alias("value")).union(self.nodes.sparkSession.createDataFrame([("version", version)], "name string, value string"))
+        return self.counts().select(F.concat("part", F.lit("_count")).alias("name"), F.col("n").cast("string").alias("value")).union(local_frame(self.nodes.sparkSession, [("version", version)], "name string, value string"))
 
     def to_jsonl(self, version: str = "1.0") -> DataFrame:
         """One typed JSON line each; write with ``.write.text``."""

@@ -82,6 +82,13 @@ def subtract_sets(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return coalesce_intervals(alone.select(*keys, "start_ts", "end_ts"), keys)
 
 
+def has_overlap(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys under which some interval of one set overlaps one of the other: no pairs, a running count."""
+    ours = coalesce_intervals(a.select(*keys, "start_ts", "end_ts"), keys).withColumn("tag", F.lit(1))
+    theirs = coalesce_intervals(b.select(*keys, "start_ts", "end_ts"), keys).withColumn("tag", F.lit(0))
+    return segments(ours.unionByName(theirs), keys).where("n = 2").select(*keys).distinct()
+
+
 def overlap_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", suffix: str = "_r") -> DataFrame:
     """Joins rows of equal ``on`` whose intervals overlap; the right side's other columns get ``suffix``."""
     renamed = right.select(*[F.col(c).alias(c if c in on else c + suffix) for c in right.columns])

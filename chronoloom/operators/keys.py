@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.ontology import ConstraintKind, IdentityKey, Ontology
+from ..sources.shared import local_frame
 from .intervals import coalesce_intervals
 
 #: Intervals of one attribute that take part in a record's keys; the longest stay.
@@ -45,7 +46,7 @@ def key_rows(records: DataFrame, descriptors: DataFrame, ontology: Ontology) ->
     rows = [key_rows_of(records, values, k).withColumn("key_order", F.lit(i)) for i, k in enumerate(ontology.identity_keys)]
     if not rows:
         spark = records.sparkSession
-        return spark.createDataFrame([], "record_id long, key_name string, key_values array<struct<attr:string,value:string>>, start_ts long, end_ts long, entity_type string, key_order int")
+        return local_frame(spark, [], "record_id long, key_name string, key_values array<struct<attr:string,value:string>>, start_ts long, end_ts long, entity_type string, key_order int")
     return reduce(DataFrame.unionByName, rows)
 
 

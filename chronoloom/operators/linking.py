@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.ontology import Ontology
+from ..sources.shared import materialise
 from .components import connected_components, label
 from .intervals import coalesce_intervals, with_islands
 from .keys import key_rows, key_text
@@ -77,12 +78,14 @@ class LinkOptions:
 
     ``guard_check``: a merge is refused where both named records were merged
     before, at overlapping times, for different keys.  ``hot_key_cap``: a key
-    with more overlapping clusters than this is closed (None: no limit).
+    with more overlapping clusters than this is closed (None: no limit), and
+    with ``defer`` its records are compared once more when all are in.
     """
 
     mode: str = "stream"
     guard_check: bool = False
     hot_key_cap: int | None = None
+    defer: bool = False
 
 
 @dataclass
@@ -121,6 +124,7 @@ class Replay:
         self.guards: dict[int, list[tuple[int, int, str]]] = {}
         self.index: dict[str, list[tuple[int, int, int]]] = {}
         self.closed: set[str] = set()
+        self.pending: dict[str, list[tuple[int, int, int]]] = {}
         self.log: list[tuple[int, int, str, str, int, int]] = []  # record, candidate, key, outcome, start, end
 
     def find(self, x: int) -> int:
@@ -156,6 +160,8 @@ class Replay:
         stream = self.options.mode == "stream"
         for name, text, start, end in keys:
             if text in self.closed:
+                if text in self.pending:
+                    self.pending[text].append((start, end, record))
                 continue
             found: dict[int, tuple[int, int]] = {}
             for other, s, e in self.index.get(text, ()):
@@ -164,6 +170,8 @@ class Replay:
             cap = self.options.hot_key_cap
             if cap is not None and len(found) > cap:
                 self.closed.add(text)
+                if self.options.defer:
+                    self.pending[text] = sorted({(s, e, r) for r, s, e in self.index[text]} | {(start, end, record)})
                 continue
             for root in sorted(found):
                 mine = self.find(record)
@@ -184,6 +192,24 @@ class Replay:
         for _, text, start, end in keys:
             self.index.setdefault(text, []).append((record, start, end))
 
+    def link_deferred(self) -> None:
+        """Sweeps over the records of keys that were closed for their size; only those of one perspective are merged,
+        as a closed key says nothing across perspectives."""
+        for text, members in sorted(self.pending.items()):
+            active: list[tuple[int, int, int]] = []
+            for start, end, record in sorted(members):
+                active = [x for x in active if x[1] > start]
+                for s, e, other in active:
+                    a, b = self.find(record), self.find(other)
+                    if a == b or self.perspective[record] != self.perspective[other]:
+                        continue
+                    span = (max(s, start), min(e, end))
+                    if self.cluster[a].clashes(self.cluster[b]):
+                        self.log.append((record, other, "deferred", "vetoed", *span))
+                    elif self._merge(record, other, span, "deferred"):
+                        self.log.append((record, other, "deferred", "merged", *span))
+                active.append((start, end, record))
+
     def clusters(self) -> dict[int, int]:
         least: dict[int, int] = {}
         for x in self.parent:
@@ -201,12 +227,13 @@ def _replay(rows: pd.DataFrame, strong: pd.DataFrame, options: LinkOptions) -> R
     for record, of in ordered.groupby("record_id", sort=True):
         keys = of[["key_name", "k", "start_ts", "end_ts"]].itertuples(index=False, name=None)
         run.link(int(record), of["perspective"].iat[0], values.get(record, {}), keys)
+    run.link_deferred()
     return run
 
 
 def _greedy_input(records: DataFrame, descriptors: DataFrame, ontology: Ontology, options: LinkOptions):
     rows = key_rows(records, descriptors, ontology).join(records.select("record_id", "perspective"), "record_id")
-    keyed = rows.select("record_id", "perspective", "key_name", "key_order", key_text(F.col("entity_type"), F.col("key_values")).alias("k"), "start_ts", "end_ts").checkpoint()
+    keyed = materialise(rows.select("record_id", "perspective", "key_name", "key_order", key_text(F.col("entity_type"), F.col("key_values")).alias("k"), "start_ts", "end_ts"))
     if options.mode == "batch":  # decisions depend on records that overlap only
         lead = with_islands(keyed, ["k"], touching=False).withColumn("b", F.min("record_id").over(Window.partitionBy("k", "island")))
         edges = lead.select(F.col("record_id").alias("a"), "b")
@@ -214,8 +241,8 @@ def _greedy_input(records: DataFrame, descriptors: DataFrame, ontology: Ontology
         first = keyed.groupBy("k").agg(F.min("record_id").alias("b"))
         edges = keyed.join(first, "k").select(F.col("record_id").alias("a"), "b")
     placed = label(keyed.select("record_id").distinct(), connected_components(edges)).withColumnRenamed("cluster_id", "component")
-    keyed = keyed.join(placed, "record_id").checkpoint()
-    strong = strong_summary(records, descriptors, ontology.strong_attributes or [""]).join(placed, "record_id").checkpoint()
+    keyed = materialise(keyed.join(placed, "record_id"))
+    strong = materialise(strong_summary(records, descriptors, ontology.strong_attributes or [""]).join(placed, "record_id"))
     # columns of their own on both sides, so that a cogroup can tell them apart
     return keyed, strong.select(*[F.col(c).alias(c) for c in strong.columns])
 
@@ -241,7 +268,7 @@ def link_greedy(records: DataFrame, descriptors: DataFrame, ontology: Ontology,
     made = replayed.groupBy("component").cogroup(strong.groupBy("component")).applyInPandas(run, "record_id long, cluster_id long")
     if free is not None:
         lead = with_islands(free, ["k"], touching=False).withColumn("b", F.min("record_id").over(Window.partitionBy("k", "island")))
-        edges = lead.select(F.col("record_id").alias("a"), "b").checkpoint()
+        edges = lead.select(F.col("record_id").alias("a"), "b")
         made = made.unionByName(label(free.select("record_id").distinct(), connected_components(edges)))
     linked = made.select("record_id", F.col("cluster_id").alias("_c"))
     return records.select("record_id").join(linked, "record_id", "left").select("record_id", F.coalesce("_c", "record_id").alias("cluster_id"))

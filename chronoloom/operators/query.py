@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import interval as iv
+from ..sources.shared import local_frame
 from .intervals import coalesce_intervals, segments
 
 
@@ -66,7 +67,7 @@ def offending_descriptors(hits: DataFrame, conflict: DataFrame, asked: list[tupl
     """(attr, value, start_ts, end_ts): descriptors that both clusters of a conflict have within it, by the first
     stretch of each; all asked ones with the conflict's time where there is none."""
     spark = hits.sparkSession
-    names = spark.createDataFrame([(i, a, v) for i, (a, v) in enumerate(dict.fromkeys(asked))], "tag int, attr string, value string")
+    names = local_frame(spark, [(i, a, v) for i, (a, v) in enumerate(dict.fromkeys(asked))], "tag int, attr string, value string")
     c = conflict.select("cluster_a", "cluster_b", F.col("start_ts").alias("cs"), F.col("end_ts").alias("ce"))
 
     def first(side: str, p: str) -> DataFrame:

@@ -90,6 +90,18 @@ def merge_boundaries(boundaries: DataFrame, merges: DataFrame) -> DataFrame:
     return folded.select("signature", "shard", "cluster_id", "start_ts", "end_ts", F.map_from_entries("e").alias("strong"))
 
 
+def overlapping_boundaries(boundaries: DataFrame, signatures: DataFrame, start: int, end: int) -> DataFrame:
+    """Entries of the asked keys at some time in [start, end)."""
+    return boundaries.where((F.col("start_ts") < end) & (F.col("end_ts") > start)).join(signatures.select("signature").distinct(), "signature", "left_semi")
+
+
+def conflicts_of_shard(conflicts: DataFrame, boundaries: DataFrame, shard: int) -> DataFrame:
+    """The conflicts that touch a shard's clusters, each pair of clusters and time once."""
+    mine = boundaries.where(F.col("shard") == shard).select(F.col("cluster_id").alias("_c")).distinct()
+    sides = [conflicts.join(mine, F.col(side) == F.col("_c"), "left_semi") for side in ("cluster_a", "cluster_b")]
+    return sides[0].unionByName(sides[1]).dropDuplicates(["cluster_a", "cluster_b", "start_ts", "end_ts"])
+
+
 def dirty_keys(before: DataFrame | None, after: DataFrame) -> DataFrame:
     """Signatures whose entries are new or changed."""
     row = ["signature", "shard", "cluster_id", "start_ts", "end_ts"]

@@ -8,6 +8,8 @@ from enum import Enum
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.shared import local_frame
+
 
 @dataclass(frozen=True)
 class IdentityKey:
@@ -173,8 +175,8 @@ class Ontology:
         return cls.from_dict(json.loads(text))
 
     def weights_frame(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(list(self.perspective_weights.items()), "perspective string, weight long")
+        return local_frame(spark, list(self.perspective_weights.items()), "perspective string, weight long")
 
     def crosswalk_frame(self, spark: SparkSession) -> DataFrame:
         rows = [(c.perspective, c.uid, c.canonical_id, c.start_ts, c.end_ts) for c in self.crosswalks]
-        return spark.createDataFrame(rows, "perspective string, uid string, canonical_id string, start_ts long, end_ts long")
+        return local_frame(spark, rows, "perspective string, uid string, canonical_id string, start_ts long, end_ts long")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +21,7 @@ from ..operators import linking as ln
 from ..operators import query as qu
 from ..operators import reconcile as rc
 from ..sources import records as src
+from ..sources.shared import local_frame, shared_dir
 from . import views as vw
 from .views import DAY, sql
 
@@ -173,6 +174,12 @@ def interval_sets_subtract(spark, sf_dir):
     return ops.subtract_sets(st.where("o_orderstatus = 'F'"), st.where("o_orderstatus = 'O'"), ["o_custkey"])
 
 
+@register("SELECT DISTINCT a.o_custkey FROM t_ord a JOIN t_ord b ON a.o_custkey = b.o_custkey AND a.o_orderstatus = 'F' AND b.o_orderstatus = 'O' AND a.s < b.s + 15552000 AND b.s < a.s + 15552000")
+def interval_sets_overlap(spark, sf_dir):
+    st = _statuses(spark, sf_dir)
+    return ops.has_overlap(st.where("o_orderstatus = 'F'"), st.where("o_orderstatus = 'O'"), ["o_custkey"])
+
+
 @register("""
 SELECT a.c_custkey AS a, b.s_suppkey AS b FROM (SELECT c_custkey, c_custkey % 997 AS s, c_custkey % 997 + 3 AS e FROM customer) a
 JOIN (SELECT s_suppkey, s_suppkey * 7 % 997 AS s, s_suppkey * 7 % 997 + 1 + s_suppkey % 40 AS e FROM supplier) b ON a.s < b.e AND b.s < a.e""")
@@ -244,6 +251,12 @@ def value_in_interval(spark, sf_dir):
     return src.value_in_interval(vw.orders(spark, sf_dir)[1], "status", "F", 890_000_000, 900_000_000)
 
 
+@register("SELECT record_id, attr, value, start_ts, end_ts FROM d_ord WHERE attr = 'status' AND start_ts < 900000000 AND end_ts > 890000000")
+def descriptors_in_interval(spark, sf_dir):
+    rows = src.descriptors_in_interval(src.for_attribute(vw.orders(spark, sf_dir)[1], "status"), 890_000_000, 900_000_000)
+    return rows.drop("position")
+
+
 @register("SELECT attr, value, count(DISTINCT record_id) AS records, count(*) AS descriptors FROM d_doc GROUP BY attr, value")
 def value_index(spark, sf_dir):
     return src.value_index(vw.texts(spark, sf_dir)[1])
@@ -746,6 +759,14 @@ def boundary_index(spark, sf_dir):
     return _boundaries(spark, sf_dir).select("shard", "cluster_id", "start_ts", "end_ts", F.size("strong").cast("long").alias("perspectives"))
 
 
+@register(_BOUNDS.strip() + "\nSELECT cluster_id, start_ts, end_ts FROM bi WHERE key IN ('7', '14') AND start_ts < 910000000 AND end_ts > 800000000")
+def boundary_lookup(spark, sf_dir):
+    found = _boundaries(spark, sf_dir)
+    keys = local_frame(spark, [("7",), ("14",)], "value string")
+    signed = keys.select(F.hex(ky.signature(F.lit("order"), F.array(F.struct(F.lit("cust").alias("attr"), F.col("value"))))).alias("signature"))
+    return rc.overlapping_boundaries(found, signed, 800_000_000, 910_000_000).select("cluster_id", "start_ts", "end_ts")
+
+
 @register(_BOUNDS.strip() + "\nSELECT DISTINCT cluster_a AS primary, cluster_b AS secondary FROM bp WHERE perspectives IS NULL".replace("AS primary", 'AS "primary"'))
 def cross_shard_merges(spark, sf_dir):
     return rc.reconcile(_boundaries(spark, sf_dir)).merges
@@ -788,8 +809,7 @@ def incremental_ingest(spark, sf_dir):
     """Orders in three batches through a store and the linker, which gives what one batch would."""
     from ..engine import Engine
 
-    root = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/engine-{spark.sparkContext.applicationId}-{abs(hash((sf_dir, id(spark), tempfile.mktemp())))}"
-    engine = Engine(spark, root, vw.PLAIN_ORDERS)
+    engine = Engine(spark, f"{shared_dir(spark)}/engine-{uuid.uuid4().hex}", vw.PLAIN_ORDERS)
     rows = src.nested(*vw.orders(spark, sf_dir))
     for k in range(3):
         engine.ingest(rows.where(F.col("index") % 3 == k), keep_ids=True, batch_id=k)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import interval as iv
+from .shared import materialise
 
 NESTED = (
     "index bigint, identity struct<entity_type:string,perspective:string,uid:string>, "
@@ -82,7 +83,7 @@ def number_records(batch: DataFrame, after: int, order: str) -> DataFrame:
     its start, so no task sorts the whole batch.
     """
     n = max(1, int(batch.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = batch.repartitionByRange(n, order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id()).checkpoint()
+    ranged = materialise(batch.repartitionByRange(n, order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id()))
     counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("_part", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_start"))  # a row for each range
@@ -122,6 +123,14 @@ def value_in_interval(descriptors: DataFrame, attr: str, value: str, start: int,
     return hit.select("record_id", part.start.alias("start_ts"), part.end.alias("end_ts"))
 
 
+def for_attribute(descriptors: DataFrame, attr: str) -> DataFrame:
+    return descriptors.where(F.col("attr") == attr)
+
+
+def descriptors_in_interval(descriptors: DataFrame, start: int, end: int) -> DataFrame:
+    return descriptors.where((F.col("start_ts") < end) & (F.col("end_ts") > start))
+
+
 def value_index(descriptors: DataFrame) -> DataFrame:
     """(attr, value, records): all pairs with the number of records and descriptors they have."""
     return descriptors.groupBy("attr", "value").agg(F.countDistinct("record_id").alias("records"), F.count(F.lit(1)).alias("descriptors"))
