@@ -12,6 +12,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass, field
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -69,6 +71,9 @@ def veto_pairs(summary: DataFrame, pairs: DataFrame) -> DataFrame:
     return met.select("p.a", "p.b", F.col("x.perspective"), F.col("x.attr"), F.col("x.value").alias("value_a"), F.col("y.value").alias("value_b"), F.greatest("x.start_ts", "y.start_ts").alias("start_ts"), F.least("x.end_ts", "y.end_ts").alias("end_ts"))
 
 
+#: Key rows that one task replays at a time, about; a component larger than that stays whole.
+REPLAY_ROWS = 20_000
+
 # ---- greedy linking -------------------------------------------------------------------------------------------------
 
 
@@ -223,10 +228,11 @@ def _replay(rows: pd.DataFrame, strong: pd.DataFrame, options: LinkOptions) -> R
     for r in strong.itertuples(index=False):
         values.setdefault(r.record_id, {}).setdefault((r.perspective, r.attr), {}).setdefault(r.value, []).append((r.start_ts, r.end_ts))
     run = Replay(options)
-    ordered = rows.sort_values(["record_id", "key_order", "start_ts", "end_ts", "k"], kind="stable")
-    for record, of in ordered.groupby("record_id", sort=True):
-        keys = of[["key_name", "k", "start_ts", "end_ts"]].itertuples(index=False, name=None)
-        run.link(int(record), of["perspective"].iat[0], values.get(record, {}), keys)
+    columns = ["record_id", "key_order", "start_ts", "end_ts", "k", "key_name", "perspective"]
+    ordered = sorted(zip(*(rows[c].tolist() for c in columns), strict=True))
+    for record, of in groupby(ordered, key=itemgetter(0)):
+        mine = list(of)
+        run.link(record, mine[0][6], values.get(record, {}), [(r[5], r[4], r[2], r[3]) for r in mine])
     run.link_deferred()
     return run
 
@@ -241,12 +247,23 @@ def _greedy_input(records: DataFrame, descriptors: DataFrame, ontology: Ontology
         first = keyed.groupBy("k").agg(F.min("record_id").alias("b"))
         edges = keyed.join(first, "k").select(F.col("record_id").alias("a"), "b")
     placed = label(keyed.select("record_id").distinct(), connected_components(edges)).withColumnRenamed("cluster_id", "component")
-    keyed = materialise(keyed.join(placed, "record_id"))
+    # a record that shares no key with another has nothing to decide
+    shared = keyed.join(placed, "record_id")
+    several = shared.groupBy("component").agg(F.min("record_id").alias("x"), F.max("record_id").alias("y")).where("x <> y").select("component")
+    keyed = materialise(shared.join(several, "component", "left_semi"))
     strong = materialise(strong_summary(records, descriptors, ontology.strong_attributes or [""]).join(placed, "record_id"))
     # columns of their own on both sides, so that a cogroup can tell them apart
     return keyed, strong.select(*[F.col(c).alias(c) for c in strong.columns])
 
 
+def _replayed(keyed: DataFrame, strong: DataFrame, run, schema: str) -> DataFrame:
+    """Replays components, many small ones at a time: those of a bucket together give what each alone would."""
+    buckets = max(1, keyed.count() // REPLAY_ROWS)
+    bucket = F.pmod(F.xxhash64("component"), F.lit(buckets)).cast("int").alias("bucket")
+    rows, values = keyed.select("*", bucket), strong.select("*", bucket)
+    return rows.groupBy("bucket").cogroup(values.groupBy("bucket")).applyInPandas(run, schema)
+
+
 def link_greedy(records: DataFrame, descriptors: DataFrame, ontology: Ontology, options: LinkOptions | None = None) -> DataFrame:
     """Clusters made in record order under the veto of strong identifiers."""
     options = options or LinkOptions()
@@ -265,7 +282,7 @@ def link_greedy(records: DataFrame, descriptors: DataFrame, ontology: Ontology,
         made = _replay(rows, values, options).clusters()
         return pd.DataFrame({"record_id": list(made), "cluster_id": list(made.values())}, dtype="int64")
 
-    made = replayed.groupBy("component").cogroup(strong.groupBy("component")).applyInPandas(run, "record_id long, cluster_id long")
+    made = _replayed(replayed, strong, run, "record_id long, cluster_id long")
     if free is not None:
         lead = with_islands(free, ["k"], touching=False).withColumn("b", F.min("record_id").over(Window.partitionBy("k", "island")))
         edges = lead.select(F.col("record_id").alias("a"), "b")
@@ -284,7 +301,7 @@ def merge_log(records: DataFrame, descriptors: DataFrame, ontology: Ontology, op
         return pd.DataFrame(log, columns=["record_id", "candidate", "key_name", "outcome", "start_ts", "end_ts"])
 
     schema = "record_id long, candidate long, key_name string, outcome string, start_ts long, end_ts long"
-    return keyed.groupBy("component").cogroup(strong.groupBy("component")).applyInPandas(run, schema)
+    return _replayed(keyed, strong, run, schema)
 
 
 def resolve(records: DataFrame, descriptors: DataFrame, ontology: Ontology, options: LinkOptions | None = None) -> DataFrame:
