@@ -23,12 +23,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Folders of sessions that name none, by application.
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder of ``spark.checkpoint.dir``; a temporary one of the application only where that is unset."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = tempfile.mkdtemp(prefix="corpus-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        app = spark.sparkContext.applicationId
+        where = _OWN.setdefault(app, "") or tempfile.mkdtemp(prefix="corpus-")
+        _OWN[app] = where
     return where.rstrip("/")
 
 
