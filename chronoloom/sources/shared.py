@@ -8,12 +8,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders of sessions that name none, by application.
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only where that is unset."""
+    """The folder of ``spark.checkpoint.dir``; a temporary one of the application only where that is unset."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = tempfile.mkdtemp(prefix="chronoloom-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        app = spark.sparkContext.applicationId
+        where = _OWN.setdefault(app, "") or tempfile.mkdtemp(prefix="chronoloom-")
+        _OWN[app] = where
     return where.rstrip("/")
 
 
