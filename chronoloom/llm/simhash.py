@@ -100,21 +100,28 @@ def _segments(fingerprints: np.ndarray, segments: int) -> list[np.ndarray]:
     return [(fingerprints >> np.uint64(size * k) & np.uint64((1 << size) - 1)).astype(np.int64) for k in range(segments)]
 
 
-def _fingerprint(text: str | None, words: int) -> int:
-    """A bit is one where over half of the shingles' hashes have it."""
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """The 64-bit hashes of the text's shingles in order, repeated ones too; a shorter text is one shingle."""
+    return np.frombuffer(_digests(text, words), np.uint64)
+
+
+def _digests(text: str | None, words: int) -> bytes:
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not found:
-        return 0
+        return b""
     joined = b" ".join(found)
     digest = xxhash.xxh64_digest
     if len(found) <= words:
-        made = digest(joined, SEED)
-    else:
-        ends = np.cumsum(np.array(list(map(len, found)), np.int64) + 1) - 1
-        starts = np.concatenate([[0], ends[:-1] + 1])
-        pairs = zip(starts[: len(found) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)
-        made = b"".join([digest(joined[a:b], SEED) for a, b in pairs])
-    return _majority(np.frombuffer(made, np.uint8).reshape(-1, 8))
+        return digest(joined, SEED)
+    ends = np.cumsum(np.array(list(map(len, found)), np.int64) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    pairs = zip(starts[: len(found) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)
+    return b"".join([digest(joined[a:b], SEED) for a, b in pairs])
+
+
+def _fingerprint(text: str | None, words: int) -> int:
+    """A bit is one where over half of the shingles' hashes have it."""
+    return _majority(np.frombuffer(_digests(text, words), np.uint8).reshape(-1, 8))
 
 
 def _majority(hashes: np.ndarray) -> int:
