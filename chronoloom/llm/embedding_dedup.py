@@ -5,8 +5,9 @@ the cell of its two nearest codewords, one of the product grid.  A query visits
 cells in the order of the summed distances of their codewords (multi-sequence
 traversal, a heap over the two sorted lists) and is compared in double
 precision with all vectors found there.  How many cells are visited is
-calibrated: as many as it takes for ``recall`` of the links that a bounded
-sample of queries has by brute force against all rows.
+calibrated: as many as it takes for ``recall`` of made partners right at the
+limit of a bounded sample of queries, and of the links that these have with
+other vectors by brute force against all rows.
 
 Equal vectors are one node with a count.  A cell's vectors are dealt to chunks
 of ``CHUNK``, and its queries go to every chunk, so a cell may hold any number.
@@ -38,8 +39,8 @@ from .components import connected_components
 FIT_ROWS = 20_000
 PROBES = 512
 CHUNK = 4000
-#: Cells that a query visits at least, and where the probes have no links.
-LEAST_CELLS = 8
+#: Made partners of each probe.
+PARTNERS = 16
 _ROUNDS = 12
 
 
@@ -114,6 +115,11 @@ class Grid:
 
 
 def padded(vectors: list, width: int) -> np.ndarray:
+    """Lists, or the bytes of their doubles, as rows of one width."""
+    if vectors and isinstance(vectors[0], bytes):
+        if all(len(v) == 8 * width for v in vectors):
+            return np.frombuffer(b"".join(vectors), np.float64).reshape(len(vectors), width)
+        vectors = [np.frombuffer(v, np.float64) for v in vectors]
     out = np.zeros((len(vectors), width))
     for i, v in enumerate(vectors):
         out[i, : len(v)] = v
@@ -134,14 +140,45 @@ def _nodes(vectors: DataFrame, id_col: str, vector: str) -> DataFrame:
     ).withColumns({"a": F.xxhash64("unit"), "b": F.xxhash64(F.lit(7), "unit")})
 
 
-def _calibrate(nodes: DataFrame, grid: Grid, probes: np.ndarray, least: float, recall: float) -> int:
-    """How many cells hold ``recall`` of the probes' links, of all and on average over probes."""
+def partners(x: np.ndarray, lengths: np.ndarray, cosine: float, rng: np.random.Generator) -> np.ndarray:
+    """For each unit vector one at the given cosine to it, in a random direction of its own dimensions."""
+    aside = rng.standard_normal(x.shape) * (np.arange(x.shape[1]) < lengths[:, None])
+    aside -= (aside * x).sum(1)[:, None] * x
+    size = np.linalg.norm(aside, axis=1)[:, None]
+    aside = np.where(size > 1e-9, aside / np.maximum(size, 1e-9), 0)  # a vector of one dimension has no other direction
+    made = cosine * x + np.sqrt(max(0.0, 1 - cosine**2)) * aside
+    return made / np.linalg.norm(made, axis=1)[:, None]
+
+
+def _ranks(d1: np.ndarray, d2: np.ndarray, of: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """The place of each of ``cells`` in the traversal of the row ``of`` of the distances; the last one among equals."""
+    out = np.empty(len(cells), np.int64)
+    width = d2.shape[1]
+    for at in np.argsort(of, kind="stable").tolist():
+        a, b = d1[of[at]], d2[of[at]]
+        limit = a[cells[at] // width] + b[cells[at] % width]
+        out[at] = np.searchsorted(np.sort(b), limit - a + 1e-12, "right").sum() - 1
+    return np.maximum(out, 0)
+
+
+def _calibrate(nodes: DataFrame, grid: Grid, probes: np.ndarray, least: float, recall: float, lengths: np.ndarray | None = None) -> int:
+    """How many cells hold ``recall`` of the links at the limit and of the probes' own.
+
+    Links at the limit are the hardest to find and need not be frequent, so the probes get ``PARTNERS`` made ones each, at
+    a cosine of ``least``; either side may visit.  Links that probes really have (not with themselves) can ask for more
+    cells, never for fewer: ``recall`` of them, of all and on average over probes.
+    """
     d1, d2 = grid.distances(probes)
-    size = len(grid.books[0]) * len(grid.books[1])
-    rank = np.empty((len(probes), size), np.int32)
-    for i in range(len(probes)):
-        order = np.argsort((d1[i][:, None] + d2[i][None, :]).ravel(), kind="stable")
-        rank[i, order] = np.arange(size)
+    rng = np.random.default_rng(5)
+    lengths = np.full(len(probes), probes.shape[1]) if lengths is None else lengths
+    each = np.arange(len(probes))
+    own = grid.cells(d1, d2)
+    made = []
+    for _ in range(PARTNERS):
+        e1, e2 = grid.distances(partners(probes, lengths, least, rng))
+        made.append(np.minimum(_ranks(d1, d2, each, grid.cells(e1, e2)), _ranks(e1, e2, each, own)))
+    made = np.sort(np.concatenate(made))
+    count = int(made[int(np.ceil(recall * len(made))) - 1]) + 1
 
     def run(batches):
         total: dict[tuple[int, int], int] = {}
@@ -151,30 +188,28 @@ def _calibrate(nodes: DataFrame, grid: Grid, probes: np.ndarray, least: float, r
                 continue
             cells = grid.cells(*grid.distances(x))
             p, q = np.nonzero(probes @ x.T >= least)
-            for key in zip(p.tolist(), rank[p, cells[q]].tolist(), strict=True):
+            other = np.fromiter((not np.array_equal(probes[i], x[j]) for i, j in zip(p.tolist(), q.tolist(), strict=True)), bool, len(p))
+            for key in zip(p[other].tolist(), cells[q[other]].tolist(), strict=True):
                 total[key] = total.get(key, 0) + 1
-        rows = [(p, r, n) for (p, r), n in total.items()]
+        rows = [(p, c, n) for (p, c), n in total.items()]
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["probe", "rank", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["probe", "cell", "n"])
 
-    found = nodes.select("unit").mapInArrow(run, "probe long, rank long, n long").groupBy("probe", "rank").agg(F.sum("n").alias("n")).collect()
+    found = nodes.select("unit").mapInArrow(run, "probe long, cell long, n long").groupBy("probe", "cell").agg(F.sum("n").alias("n")).collect()
     if not found:
-        return LEAST_CELLS
-    ranks = sorted({r["rank"] for r in found})
-    total: dict[int, int] = {}
-    for r in found:
-        total[r.probe] = total.get(r.probe, 0) + r.n
-    for limit in ranks:
-        got: dict[int, int] = {}
-        for r in found:
-            if r["rank"] <= limit:
-                got[r.probe] = got.get(r.probe, 0) + r.n
-        if sum(got.values()) >= recall * sum(total.values()) and sum(got.get(p, 0) / n for p, n in total.items()) >= recall * len(total):
-            return max(LEAST_CELLS, limit + 1)
-    return max(LEAST_CELLS, ranks[-1] + 1)
+        return count
+    of, cell, n = (np.array([r[c] for r in found], np.int64) for c in ("probe", "cell", "n"))
+    rank = _ranks(d1, d2, of, cell)
+    total = np.bincount(of, n, len(probes))
+    linked = total > 0
+    for limit in np.unique(rank).tolist():
+        got = np.bincount(of, n * (rank <= limit), len(probes))
+        if got.sum() >= recall * total.sum() and (got[linked] / total[linked]).mean() >= recall:
+            return max(count, limit + 1)
+    return max(count, int(rank.max()) + 1)
 
 
-_INDEXED = "a long, b long, n long, len int, unit array<double>, cell int, visits array<int>"
+_INDEXED = "a long, b long, n long, len int, unit binary, cell int, visits array<int>"
 
 
 def _index(grid: Grid, count: int):
@@ -191,7 +226,7 @@ def _index(grid: Grid, count: int):
                         part.column("b"),
                         part.column("n"),
                         pa.array([len(v) for v in vectors], pa.int32()),
-                        part.column("unit"),
+                        pa.array([np.array(v, np.float64).tobytes() for v in vectors], pa.binary()),
                         pa.array(grid.cells(d1, d2).astype(np.int32)),
                         pa.array(grid.visits(d1, d2, count), pa.list_(pa.int32())),
                     ],
@@ -219,10 +254,8 @@ def _search(least: float, width: int):
         back = np.zeros(len(stored), np.int64)
         for lo in range(0, len(queries), 512):
             near = qx[lo : lo + 512] @ sx.T >= least
-            for i, row in enumerate(near):
-                hit = np.flatnonzero(row)
-                if not len(hit):
-                    continue
+            for i in np.flatnonzero(near.any(1)).tolist():
+                hit = np.flatnonzero(near[i])
                 q = queries[lo + i]
                 key = (q[2], q[3])
                 hit = hit[slen[hit] == q[5]]
@@ -283,8 +316,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, recall: float = 0.999,
     # about four vectors a cell, so that the work of a query stays level as the table grows
     size = int(min(1024, max(4, 2 ** round(np.log2(max(1.0, total / 4)) / 2))))
     grid = Grid.fit(sample, size)
-    probes = padded([r.unit for r in nodes.where(draw(4, PROBES)).orderBy("a", "b").limit(2 * PROBES).select("unit").collect()], width)
-    count = _calibrate(nodes, grid, probes, least, recall) if len(probes) else LEAST_CELLS
+    drawn = [r.unit for r in nodes.where(draw(4, PROBES)).orderBy("a", "b").limit(2 * PROBES).select("unit").collect()] or [nodes.first().unit]
+    count = _calibrate(nodes, grid, padded(drawn, width), least, recall, np.array(list(map(len, drawn))))
     indexed = materialise(nodes.select("a", "b", "n", "unit").mapInArrow(_index(grid, count), _INDEXED), "vector-index")
     cells = materialise(indexed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks")), "vector-cells")
     stored = indexed.join(cells, "cell").select(

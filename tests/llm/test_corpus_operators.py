@@ -293,6 +293,23 @@ def test_embedding_dedup_of_nothing(spark):
     assert by_id(embedding_dedup.near_vectors(one)) == {3: (0, 3), 4: (0, 4)}
 
 
+def test_embedding_cells_are_calibrated_without_links(spark):
+    """Where no probe has a partner, links at the limit must be found all the same."""
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((6000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    grid = embedding_dedup.Grid.fit(x, 128)
+    nodes = spark.createDataFrame([(v.tolist(),) for v in x[:1000]], "unit array<double>")
+    count = embedding_dedup._calibrate(nodes, grid, x[:300], 0.95, 0.999)
+    q = x[3000:5000]
+    aside = rng.standard_normal(q.shape)
+    aside -= (aside * q).sum(1)[:, None] * q
+    y = 0.951 * q + np.sqrt(1 - 0.951**2) * aside / np.linalg.norm(aside, axis=1)[:, None]
+    dq, dy = grid.distances(q), grid.distances(y)
+    either = zip(grid.cells(*dy).tolist(), grid.visits(*dq, count), grid.cells(*dq).tolist(), grid.visits(*dy, count), strict=True)
+    assert np.mean([a in va or b in vb for a, va, b, vb in either]) >= 0.995
+
+
 def test_traversal_is_in_order_of_distance():
     rng = np.random.default_rng(0)
     a, b = rng.random(9), rng.random(7)
