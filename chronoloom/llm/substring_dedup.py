@@ -1,20 +1,22 @@
-"""Removal of repeated word sequences by prefix-partitioned suffix trees.
+"""Removal of repeated word sequences by minimizer buckets and window hashes.
 
-Of interest are the deep internal nodes of the corpus's suffix tree: word
-sequences of at least ``window`` words with two occurrences.  Suffixes are
-split into groups that fit into memory by prefixes of variable length:
+These stand in for prefix-partitioned suffix trees: of a suffix tree only the
+internal nodes at ``window`` words would be asked, that is, which windows of
+that one length are equal.  No tree or maximal repeat is made.  Windows are
+split into buckets that fit into memory by the smallest hash inside them (below:
+their prefix, though it may stand anywhere in the window):
 
 1. Every window is represented by the smallest hash of its ``PREFIX``-word
    sequences, so that equal windows share a prefix wherever they stand, and
    neighbouring windows mostly do too: a run of windows with one prefix is one
-   narrow row.  Prefixes with a single occurrence hold no internal node; one
+   narrow row.  Prefixes with a single occurrence hold no repeat; one
    aggregation (minimum and maximum of the occurrence) drops them.
 2. The words of the other runs go to the group of their prefix.  A group's
-   suffixes, cut at ``window`` words, are sorted; equal neighbours are the
-   leaves below one internal node of that depth.  The earliest stays.
-3. A prefix with more than ``GROUP`` occurrences is lengthened: first to whole
+   windows of ``window`` words are sorted; of equal neighbours the earliest
+   stays.
+3. A prefix with more than ``GROUP`` occurrences isn't sorted but hashed: first whole
    runs, of which equal ones (by a 128-bit hash of their words) but the earliest
-   repeat as they are, then, for the earliest ones, to whole windows.  Both are
+   repeat as they are, then, for the earliest ones, whole windows.  Both are
    aggregations, which no hot passage can overfill.
 
 Exact copies of a text are settled beforehand: only the first takes part, the
