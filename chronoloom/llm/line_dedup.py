@@ -1,9 +1,9 @@
 """Line deduplication with keep bitmaps, on DataFrame operations alone.
 
 The keys of a document's lines are hashed to 128 bits and go, as narrow rows,
-to partitions by hash range, sorted by hash, document and position; each
-partition streams over its runs of equal hashes and hands on one row for each
-of them (first occurrence, number of documents), so a line found everywhere
+to partitions by hash range.  Each partition aggregates them by hash and
+document (smallest position) and then by hash (first occurrence, number of
+documents) before a second exchange by hash, so a line found everywhere
 ends as a row for each partition it reached and no task gathers it.  What comes
 back for each document is the run-length coded bitmap of its dropped lines;
 texts only meet their own bitmap.
@@ -59,7 +59,8 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_f
     n = partitions(docs.sparkSession)
     occurrences = materialise(_occurrences(docs, min_chars), "line-keys")
     ranged = occurrences.repartitionByRange(n, "h", "g", "doc_id", "row").sortWithinPartitions("h", "g", "doc_id", "row", "pos")
-    # a key's rows of one document are neighbours: they count once, at the smallest position
+    # a key's rows of one document count once, at the smallest position; the sort above asks for nothing here: minima
+    # and counts need no order, so Spark leaves it out of the plan
     per_doc = ranged.groupBy("h", "g", "doc_id", "row").agg(F.min("pos").alias("pos"))
     keys = per_doc.groupBy("h", "g").agg(
         F.count(F.lit(1)).alias("docs"),
