@@ -9,8 +9,8 @@ that of the lowest cross-entropy per character.
 
 Models are fitted on a bounded sample: about ``TRAIN_DOCS`` labelled documents
 of each language, chosen by a hash of their id; a tenth of them calibrates the
-score (a temperature) and the limit of cross-entropy beyond which a text is
-``rejected``.
+score (a temperature) and each language's limit of cross-entropy beyond which a
+text is ``rejected``.
 
 Defined cases: a text that is null or has no letter gets ``und``, score 0 and is
 rejected; rows without a language or id don't train; with no labelled row at
@@ -37,6 +37,8 @@ TRAIN_DOCS = 2500
 UNKNOWN = "und"
 #: Words a worker remembers the scores of before it starts afresh.
 CACHE_WORDS = 300_000
+#: Where a language's limit of cross-entropy lies: so far beyond this quantile of its calibration texts.
+QUANTILE, SLACK = 0.99, 1.4
 _LETTERS = re.compile(r"[^\W\d_]+")
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -83,7 +85,8 @@ def _find(sorted_hashes: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np
 
 class Models:
     def __init__(self, langs: list[str], levels: list[Level], floor: np.ndarray, temperature: float = 1.0, limit: float = np.inf):
-        self.langs, self.levels, self.floor, self.temperature, self.limit = langs, levels, floor, temperature, limit
+        self.langs, self.levels, self.floor, self.temperature = langs, levels, floor, temperature
+        self.limit = np.full(len(langs), limit)
         self._row: dict[str, int] = {}
         self._table = np.empty((0, len(langs)))
 
@@ -198,7 +201,7 @@ class Models:
         score = 1.0 / np.exp((h.min(1)[:, None] - h) * self.temperature).sum(1)
         low = h.min(1)
         return [
-            (self.langs[b], float(s), float(x), bool(x > self.limit)) if n else (UNKNOWN, 0.0, None, True)
+            (self.langs[b], float(s), float(x), bool(x > self.limit[b])) if n else (UNKNOWN, 0.0, None, True)
             for b, s, x, n in zip(best.tolist(), score.tolist(), low.tolist(), letters.tolist(), strict=True)
         ]
 
@@ -206,8 +209,9 @@ class Models:
         """``h`` (texts x languages), ``truth`` their languages' numbers.
 
         The temperature is the likeliest of a grid.  A text is rejected where
-        its best model does no better than characters drawn at random would,
-        and clearly worse than on any text calibrated on.
+        its best model does clearly worse than on nearly all of the texts of its
+        language: by ``SLACK`` beyond the ``QUANTILE`` of their cross-entropies,
+        which a few garbled or mislabelled ones among them don't move.
         """
         if not len(h):
             return
@@ -215,7 +219,8 @@ class Models:
         grid = 2.0 ** np.arange(-1, 10)
         loss = [(np.log(np.exp((h.min(1)[:, None] - h) * t).sum(1)) + (own - h.min(1)) * t).mean() for t in grid]
         self.temperature = float(grid[int(np.argmin(loss))])
-        self.limit = float(max(-self.floor.mean(), own.max() * 1.1))
+        # a language without a text calibrated on goes by those of all
+        self.limit = np.array([np.quantile(x if len(x := own[truth == i]) else own, QUANTILE) for i in range(h.shape[1])]) * SLACK
 
 
 def held_out(doc_id: Column) -> Column:

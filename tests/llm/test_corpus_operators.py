@@ -219,6 +219,18 @@ def _languages(n=400):
         yield i, " ".join("".join(r.choice(alphabets[lang]) for _ in range(r.randint(2, 7))) for _ in range(r.randint(5, 60))), lang
 
 
+def test_rejection_is_not_moved_by_one_odd_text():
+    """A mislabelled text among those calibrated on leaves the limits of both languages where they are."""
+    models = language_id.Models.fit({"x": {"abab": 5, "ba": 2, "aab": 3}, "y": {"bb": 4, "bab": 1}})
+    rng = np.random.default_rng(2)
+    h = np.concatenate([rng.normal([1.4, 3.0], 0.05, (200, 2)), rng.normal([3.0, 1.6], 0.05, (200, 2))])
+    truth = np.repeat([0, 1], 200)
+    h[7] = [9.0, 9.5]
+    models.calibrate(h, truth)
+    limit = np.broadcast_to(models.limit, 2)
+    assert (limit > h[truth == truth].min(0)).all() and (limit < 2.5).all()
+
+
 def test_language_id(spark, empty):
     rows = list(_languages())
     extra = [(1000, None, "aa"), (1001, "12 ,. !", "aa"), (1002, "", None), (None, "abc abc", "bb"), (1003, "abcde cabed", None), (1003, "abcde cabed", None)]
