@@ -270,7 +270,11 @@ def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 3, segments
 
 
 def keep_one(docs: DataFrame, words: int = 5, max_bits: int = 3) -> DataFrame:
-    """``docs`` without the documents that are near copies of one with a smaller doc_id."""
+    """``docs`` without the documents that are near copies of one with a smaller doc_id.
+
+    Documents are told apart by doc_id: rows without one stay, and so do rows that repeat the smallest one of their
+    group.  ``near_copies.keep_one``, which the pipeline runs, leaves one row of a group whatever its ids.
+    """
     found = near_duplicates(docs, words, max_bits)
     gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
