@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import PieceCache
-from .common import flatten, slices, with_columns
+from .chunks import PieceCache, text_slices
+from .common import with_columns
 
 
 @lru_cache(maxsize=1)
@@ -63,15 +63,19 @@ def merges_of(ranks: dict[bytes, int]) -> list[tuple[bytes, bytes]]:
     return merges
 
 
+#: Pieces that go through the library as one text.
+RUN = 300
+
+
 class ByteLevelTokenizer:
     """A tokenizer of the tokenizers library with the bytes of each of its tokens."""
 
-    def __init__(self, library, token_bytes: list[bytes]):
-        self.library = library
+    def __init__(self, library, token_bytes: list[bytes], added: tuple[str, ...] = ()):
+        self.library, self.added = library, added
         self.token_bytes = token_bytes
         self.byte_lens = np.array([len(b) for b in token_bytes], np.int64)
         self.dtype = np.dtype("<u2" if len(token_bytes) <= 1 << 16 else "<u4")
-        self.cache = PieceCache(self._spaced, self._other, self._whole, b"".join, marks={m: self._whole(m) for m in ",."})
+        self.cache = PieceCache(self._spaced, self._other, self._whole, self.dtype, marks={m: self._ids(m) for m in ",." if not any(m in t for t in self.added)})
 
     @classmethod
     def from_json(cls, path: str) -> ByteLevelTokenizer:
@@ -84,7 +88,7 @@ class ByteLevelTokenizer:
         size = library.get_vocab_size(with_added_tokens=True)
         added = library.get_added_tokens_decoder()
         of = [added[i].content.encode() if i in added else bytes(back[c] for c in library.id_to_token(i)) for i in range(size)]
-        return cls(library, of)
+        return cls(library, of, tuple(x.content for x in added.values()))
 
     @classmethod
     def from_ranks(cls, path: str) -> ByteLevelTokenizer:
@@ -109,33 +113,43 @@ class ByteLevelTokenizer:
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
 
-    def _whole(self, text: str) -> bytes:
-        return self._ids(text).tobytes()
+    def _whole(self, text: str, spaced: bool) -> np.ndarray:
+        return self._ids(" " + text if spaced else text)
 
-    def _spaced(self, words: list[str]) -> list[bytes]:
-        """Words with a space before each, as one text; their ids part at their bytes."""
-        return [x for at in range(0, len(words), 300) for x in self._run(" " + " ".join(words[at : at + 300]), words[at : at + 300], 1)]
+    def _spaced(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Words with a space before each, some as one text; their ids part at their bytes."""
+        return self._joined([self._run(" " + " ".join(words[at : at + RUN]), words[at : at + RUN], 1) for at in range(0, len(words), RUN)])
 
-    def _other(self, pieces: list[str]) -> list[bytes]:
+    def _other(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         lines = [p for p in pieces if p[0] == "\n"]
-        made = iter([x for at in range(0, len(lines), 300) for x in self._run("".join(lines[at : at + 300]), lines[at : at + 300], 0)])
-        return [next(made) if p[0] == "\n" else self._whole(p) for p in pieces]
+        if len(lines) == len(pieces):
+            return self._joined([self._run("".join(lines[at : at + RUN]), lines[at : at + RUN], 0) for at in range(0, len(lines), RUN)])
+        made = [self._ids(p) for p in pieces]
+        return np.concatenate(made), np.array([len(x) for x in made], np.int64)
+
+    @staticmethod
+    def _joined(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate([r[0] for r in runs]), np.concatenate([r[1] for r in runs])
 
-    def _run(self, text: str, pieces: list[str], before: int) -> list[bytes]:
-        """The ids of each piece of ``text``, which has ``before`` more bytes ahead of each."""
+    def _run(self, text: str, pieces: list[str], before: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of ``text`` and how many each of its pieces has, which have ``before`` more bytes ahead of each."""
         ids = self._ids(text)
         lens = map(len, pieces) if text.isascii() else [len(p.encode("utf-8", "surrogatepass")) for p in pieces]
         ends = np.cumsum(np.fromiter(lens, np.int64, len(pieces)) + before)
-        at = np.searchsorted(np.cumsum(self.byte_lens[ids]), ends, side="right") * self.dtype.itemsize
-        data, after = ids.tobytes(), at.tolist()
-        return [data[a:b] for a, b in zip([0, *after], after, strict=False)]
+        at = np.searchsorted(np.cumsum(self.byte_lens[ids]), ends, side="right")
+        return ids, np.diff(at, prepend=0)
 
-    def encode_packed(self, texts: list) -> list[bytes]:
-        """Per text its ids as little-endian integers of ``dtype``."""
-        return self.cache.encode(texts)
+    def encode_flat(self, column: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, ``end_id`` after each, and where each text's end."""
+        parts = [self.cache.encode(part, () if end_id is None else (end_id,)) for part in text_slices(column)]
+        if not parts:
+            return np.empty(0, self.dtype), np.empty(0, np.int64)
+        before = np.cumsum([0] + [len(v) for v, _ in parts])
+        return np.concatenate([v for v, _ in parts]), np.concatenate([e + b for (_, e), b in zip(parts, before, strict=False)])
 
     def encode(self, texts: list) -> list[np.ndarray]:
-        return [np.frombuffer(x, self.dtype) for x in self.encode_packed(texts)]
+        values, ends = self.encode_flat(pa.array(texts, pa.string()))
+        return np.split(values, ends[:-1]) if len(ends) else []
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.token_bytes.__getitem__, ids))
@@ -161,10 +175,8 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", off
 
     @F.arrow_udf("array<int>")
     def ids_of(column: pa.Array) -> pa.Array:
-        made = flatten(tokenizer(path).encode(part) for part in slices(column))
-        ends = np.concatenate([[0], np.cumsum([len(x) for x in made])]).astype(np.int32)
-        values = np.concatenate(made).astype(np.int32) if made else np.empty(0, np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
+        values, ends = tokenizer(path).encode_flat(column)
+        return pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(values.astype(np.int32)))
 
     @F.arrow_udf("array<array<int>>")
     def offsets_of(column: pa.Array, of: pa.Array) -> pa.Array:

@@ -6,28 +6,36 @@ pattern of byte-level BPE (a piece never holds a space after its first
 character, unless it is all white space) and a vocabulary whose pieces carry
 the space mark only at their start make such a cut exact.  A text with any
 other arrangement of white space is handed over whole.
+
+Arrow cuts the texts of a slice and numbers their distinct pieces; Python
+sees a distinct piece once a slice, and only one that isn't remembered is
+encoded.  Values of remembered pieces lie one after another in a pool, from
+which numpy gathers those of all texts at once.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import repeat
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Pieces that a cache holds before it starts afresh; bounds a worker's memory, not the result.
-CACHE_ENTRIES = 600_000
+#: Pieces that a cache holds before it drops those used least; bounds a worker's memory, not the result.
+CACHE_ENTRIES = 800_000
+#: Values in the pool after which it is tidied up.
+POOL_VALUES = 1 << 24
 #: Longer pieces are not kept.
 CACHE_CHARS = 200
+#: Texts handed to a cache at once; longer ones are cut where a cut is exact anywhere.
+SLICE_BYTES = 8_000_000
+SLICE_ROWS = 8192
 #: Keys that say nothing of their own, and white space that keys may still hold.
 _BLANK = {"", " ", "\n", "\n "}
 _OTHER_SPACE = re.compile(r"[^\S \n]")
-
-
-def cut(text: str) -> list[str]:
-    """Keys of the pieces: with a space after it the first one, with a leading newline those after a
-    newline, all others stand for the piece with one space before it."""
-    keys = text.replace("\n", " \n").split(" ")
-    keys[0] += " "
-    return keys
+_BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 
 
 def safe(key: str) -> bool:
@@ -36,67 +44,170 @@ def safe(key: str) -> bool:
     return bare != "" and bare == bare.strip()
 
 
+def text_slices(column: pa.Array) -> Iterator[pa.Array]:
+    """Slices of a text column of a bounded number of rows and, but for single long texts, bytes."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(sizes)
+    at, n = 0, len(column)
+    while at < n:
+        before = int(ends[at] - sizes[at])
+        end = min(max(int(np.searchsorted(ends, before + SLICE_BYTES, side="right")), at + 1), at + SLICE_ROWS, n)
+        yield column.slice(at, end - at)
+        at = end
+
+
+def cut_long(text: str, size: int = SLICE_BYTES) -> list[str]:
+    """Parts of about ``size`` characters; each part but the first lost the space before it."""
+    parts, at = [], 0
+    while len(text) - at > size:
+        found = _BETWEEN.search(text, at + size)
+        if found is None:
+            break
+        parts.append(text[at : found.start()])
+        at = found.end()
+    return [*parts, text[at:]]
+
+
 class PieceCache:
     """Encodes texts piece by piece; each distinct piece is encoded once while it is remembered.
 
-    ``encode_spaced(words)`` gives one value for each word with a space before
-    it, ``encode_other(pieces)`` for pieces that start a text or with a newline;
-    ``encode_whole(text)`` serves texts that can't be cut; ``join(values)``
-    makes a text's value.  ``marks``: characters that are always cut off when
-    they end a piece after a letter, and their values.
+    ``encode_spaced(words)`` gives the values of words with a space before each,
+    ``encode_other(pieces)`` those of pieces that start a text or with a newline,
+    both as (flat values, number of each); ``encode_whole(text, spaced)`` serves
+    texts that can't be cut (``spaced``: with a space before).  ``marks``:
+    characters that are always cut off when they end a piece after a letter, and
+    their values.
     """
 
-    def __init__(self, encode_spaced: Callable, encode_other: Callable, encode_whole: Callable, join: Callable, marks: dict | None = None, limit: int = CACHE_ENTRIES):
-        self.encode_spaced, self.encode_other, self.encode_whole, self.join = encode_spaced, encode_other, encode_whole, join
-        self.marks, self.limit = marks or {}, limit
-        self.known: dict = {}
-
-    def encode(self, texts: list) -> list:
-        if len(self.known) > self.limit:
-            self.known.clear()
-        keys: list[str] = []
-        ends = []
-        for t in texts:
-            if t:
-                keys += cut(t)
-            ends.append(len(keys))
-        values = list(map(self.known.get, keys))
-        missing = [i for i, v in enumerate(values) if v is None]
-        if missing:
-            fresh = self._fresh({keys[i] for i in missing})
-            for i in missing:
-                values[i] = fresh.get(keys[i])
-        out, at = [], 0
-        for text, end in zip(texts, ends, strict=True):
-            part = values[at:end]
-            at = end
-            out.append(self.encode_whole(text) if missing and None in part else self.join(part))
-        return out
-
-    def _fresh(self, need: set) -> dict:
-        """Values of pieces not seen before, without those that a cut isn't sure for."""
-        known, marks = self.known, self.marks
+    def __init__(self, encode_spaced: Callable, encode_other: Callable, encode_whole: Callable, dtype, marks: dict | None = None, limit: int = CACHE_ENTRIES):
+        self.encode_spaced, self.encode_other, self.encode_whole = encode_spaced, encode_other, encode_whole
+        self.dtype, self.limit = np.dtype(dtype), limit
+        self.pool, self.filled = np.empty(1 << 20, self.dtype), 0
+        self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.used = np.zeros(1 << 16, np.int32)
+        self.count = 1  # number 0 is the piece without values
+        self.known: dict[str, int] = {}
+        self.mark_numbers = {m: self._add(np.asarray(v, self.dtype), np.array([len(v)], np.int64))[0] for m, v in (marks or {}).items()}
+        self.fixed = self.count
+
+    def _add(self, values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Puts pieces into the pool; their numbers."""
+        need, n = self.filled + len(values), self.count + len(sizes)
+        if need > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.filled], np.empty(need, self.dtype)])
+        if n > len(self.start):
+            grown = np.zeros(n, np.int64)
+            self.start, self.size = np.concatenate([self.start, grown]), np.concatenate([self.size, grown])
+            self.used = np.concatenate([self.used, np.zeros(n, np.int32)])
+        self.pool[self.filled : need] = values
+        self.start[self.count : n] = self.filled + np.cumsum(sizes) - sizes
+        self.size[self.count : n] = sizes
+        self.used[self.count : n] = 0
+        made = np.arange(self.count, n)
+        self.filled, self.count = need, n
+        return made
+
+    def _gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values of pieces one after another, and how many each has."""
+        sizes = self.size[numbers]
+        shift = self.start[numbers] - (np.cumsum(sizes) - sizes)
+        return self.pool[np.repeat(shift, sizes) + np.arange(int(sizes.sum()))], sizes
+
+    def _shrink(self) -> None:
+        """Keeps the half of the pieces that most slices used; the pool holds nothing else afterwards."""
+        numbers = np.fromiter(self.known.values(), np.int64, len(self.known))
+        uses = self.used[numbers]
+        least = max(1, int(np.partition(uses, -(self.limit // 2))[-(self.limit // 2)])) if len(uses) > self.limit // 2 else 0
+        keys = [k for k, u in zip(self.known, uses.tolist(), strict=True) if u > least]
+        kept = numbers[uses > least]
+        values, sizes = self._gather(np.concatenate([np.arange(1, self.fixed), kept]))
+        uses = self.used[kept]
+        self.pool, self.filled, self.count = np.empty(max(1 << 20, 2 * len(values)), self.dtype), 0, 1
+        self._add(values, sizes)
+        self.used[self.fixed : self.count] = uses // 2
+        self.known = dict(zip(keys, range(self.fixed, self.count), strict=True))
+
+    def encode(self, column: pa.Array, tail=()) -> tuple[np.ndarray, np.ndarray]:
+        """Values of all texts of a slice one after another, ``tail`` after each, and where each text's end; null is empty."""
+        if not len(column):
+            return np.empty(0, self.dtype), np.empty(0, np.int64)
+        if len(self.known) > self.limit or self.filled > POOL_VALUES:
+            self._shrink()
+        texts, later = pc.fill_null(column, ""), np.zeros(len(column), bool)
+        if len(column) == 1 and column.nbytes > SLICE_BYTES:
+            parts = cut_long(texts[0].as_py())
+            texts, later = pa.array(parts, pa.large_string()), np.arange(len(parts)) > 0
+        n, last_part = len(texts), ~np.append(later[1:], False)
+        pieces = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        ends = pieces.offsets.to_numpy()[1:].astype(np.int64) - pieces.offsets[0].as_py()
+        firsts = np.concatenate([[0], ends[:-1]])
+        coded = pieces.flatten().dictionary_encode()
+        codes, opening = coded.indices.to_numpy(), firsts[~later]
+        numbers, unsure = self._numbers(coded.dictionary.to_pylist())
+        heads, whole = self._numbers([coded.dictionary[int(c)].as_py() + " " for c in codes[opening]]), np.zeros(n, bool)
+        of = numbers[codes]
+        of[opening], whole[~later] = heads
+        if unsure.any():
+            bad = unsure[codes]
+            bad[opening] = False
+            whole |= np.add.reduceat(bad, firsts, dtype=np.int64) > 0
+        kept = self.filled, self.count  # what comes now serves this slice alone
+        for i in np.flatnonzero(whole).tolist():
+            text = texts[i].as_py()
+            of[firsts[i] : ends[i]] = 0
+            if text:
+                values = self.encode_whole(text, bool(later[i]))
+                of[firsts[i]] = self._add(values, np.array([len(values)]))[0]
+        if len(tail):
+            number = self._add(np.asarray(tail, self.dtype), np.array([len(tail)]))[0]
+            of = np.insert(of, ends, np.where(last_part, number, 0))
+            ends = ends + np.arange(1, n + 1)
+        values, sizes = self._gather(of)
+        self.filled, self.count = kept
+        return values, np.cumsum(sizes)[ends - 1][last_part]
+
+    def _numbers(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of keys, and which of them a cut isn't sure for."""
+        known = self.known
+        found = np.array(list(map(known.get, keys, repeat(-1))), np.int64)
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            fresh = self._fresh({keys[i] for i in missing.tolist()})
+            found[missing] = [fresh.get(keys[i], -1) for i in missing.tolist()]
+        unsure = found < 0
+        found[unsure] = 0
+        self.used[found] += 1
+        return found, unsure
+
+    def _fresh(self, need: set) -> dict[str, int]:
+        """Numbers of pieces not seen before, without those that a cut isn't sure for."""
+        known, marks = self.known, self.mark_numbers
         plain = need.isdisjoint(_BLANK) and not _OTHER_SPACE.search("".join(need))
-        spaced, other, ending = [], [], []
-        bases = set()
+        spaced, other, ending, bases, of_marks = [], [], [], [], []
         for k in need if plain else filter(safe, need):
             last = k[-1]
             if last in marks and k[-2:-1].isalpha():
-                base = k[:-1]
-                ending.append((k, base, last))
-                bases.add(base)
+                ending.append(k)
+                bases.append(k[:-1])
+                of_marks.append(marks[last])
             elif last == " " or k[0] == "\n":
                 other.append(k)
             else:
                 spaced.append(k)
-        for k in bases.difference(known, need):
+        for k in set(bases).difference(known, need):
             (other if k[0] == "\n" else spaced).append(k)
-        fresh = dict(zip(spaced, self.encode_spaced(spaced), strict=True))
+        fresh: dict[str, int] = {}
+        if spaced:
+            fresh.update(zip(spaced, self._add(*self.encode_spaced(spaced)).tolist(), strict=True))
         if other:
-            fresh.update(zip(other, self.encode_other([k.removesuffix(" ") for k in other]), strict=True))
-        for k, base, last in ending:
-            of = fresh.get(base)
-            fresh[k] = self.join((known[base] if of is None else of, marks[last]))
+            fresh.update(zip(other, self._add(*self.encode_other([k.removesuffix(" ") for k in other])).tolist(), strict=True))
+        if ending:
+            pairs = np.empty((len(ending), 2), np.int64)
+            pairs[:, 0] = [fresh[b] if b in fresh else known[b] for b in bases]
+            pairs[:, 1] = of_marks
+            values, sizes = self._gather(pairs.ravel())
+            fresh.update(zip(ending, self._add(values, sizes.reshape(-1, 2).sum(1)).tolist(), strict=True))
         known.update(fresh)
         if max(map(len, fresh), default=0) > CACHE_CHARS:
             for k in fresh:

@@ -2,7 +2,7 @@
 
 Code lengths come from package-merge (limit 16 bits); codes of one length are
 consecutive in id order, so the lengths alone are the codebook.  A block holds
-whole documents: a header, the documents' lengths, a bit offset for every
+whole documents: a header, the documents' lengths, a bit offset (64 bits) for every
 ``STEP`` tokens, and the bit stream.  The checkpoints let one block be decoded
 in many lanes at once with a 2**16 table lookup per token.
 """
@@ -15,7 +15,7 @@ import numpy as np
 
 LIMIT = 16
 STEP = 64
-MAGIC = b"HTB1"
+MAGIC = b"HTB2"
 _HEAD = struct.Struct("<4sIIQ")
 
 
@@ -101,7 +101,7 @@ def encode_block(book: Codebook, ids: np.ndarray, doc_lens: np.ndarray) -> bytes
         rows = word[starts].astype(np.int64)
         out[rows] += np.add.reduceat(value >> np.uint64(32), starts)
         out[rows + 1] += np.add.reduceat(value & np.uint64(0xFFFFFFFF), starts)
-    marks = at[::STEP].astype("<u4")
+    marks = at[::STEP].astype("<u8")
     body = out.astype(">u4").tobytes()[: (total + 7) // 8]
     head = _HEAD.pack(MAGIC, len(doc_lens), n, total)
     return b"".join([head, np.asarray(doc_lens, "<u4").tobytes(), marks.tobytes(), body])
@@ -116,8 +116,8 @@ def decode_block(book: Codebook, data: bytes) -> tuple[np.ndarray, np.ndarray]:
     doc_lens = np.frombuffer(data, "<u4", docs, at)
     at += 4 * docs
     lanes = -(-n // STEP)
-    pos = np.frombuffer(data, "<u4", lanes, at).astype(np.int64)
-    at += 4 * lanes
+    pos = np.frombuffer(data, "<u8", lanes, at).astype(np.int64)
+    at += 8 * lanes
     raw = np.frombuffer(data, np.uint8, (total + 7) // 8, at)
     padded = np.concatenate([raw, np.zeros(8, np.uint8)]).astype(np.uint32)
     window = (padded[:-3] << 24) | (padded[1:-2] << 16) | (padded[2:-1] << 8) | padded[3:]

@@ -21,11 +21,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import PieceCache
-from .common import flatten, slices, with_columns
+from .chunks import PieceCache, text_slices
+from .common import with_columns
 
 MARK = "▁"
 
@@ -53,8 +54,8 @@ class PieceCounter:
         self.cuts = not any(MARK in p.lstrip(MARK) for p in self.rank)
         merged = {c for p in self.rank if len(p) > 1 for c in p}
         self.newline_alone = "\n" not in merged
-        marks = {c: self.count(c) for c in ",." if not self._joins(c)}
-        self.cache = PieceCache(self._spaced, self._other, self.whole, sum, marks=marks, limit=400_000)
+        marks = {c: [self.count(c)] for c in ",." if not self._joins(c)}
+        self.cache = PieceCache(self._spaced, self._other, lambda text, spaced: np.array([self.whole(text)]), np.int64, marks=marks)
 
     def _joins(self, mark: str) -> bool:
         """Whether a piece holds the character right after a letter, so that it can't be cut off there."""
@@ -114,20 +115,27 @@ class PieceCounter:
             return self.count(marked)
         return sum(self.count(part) for part in _parts(marked))
 
-    def _spaced(self, words: list[str]) -> list[int]:
-        return [self.count(MARK + w) for w in words]
+    def _spaced(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return np.array([self.count(MARK + w) for w in words], np.int64), np.ones(len(words), np.int64)
 
-    def _other(self, pieces: list[str]) -> list[int]:
+    def _other(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Pieces after a newline, or those that start a text and get the mark."""
-        return [self.count(p if p[0] == "\n" else MARK + p) for p in pieces]
+        return np.array([self.count(p if p[0] == "\n" else MARK + p) for p in pieces], np.int64), np.ones(len(pieces), np.int64)
 
-    def counts(self, texts: list) -> list[int]:
+    def counts(self, column: pa.Array) -> np.ndarray:
         """Tokens of each text; the mark that the model puts before a text makes its first word like any other."""
+        column = pc.fill_null(column, "")
         if not (self.cuts and self.newline_alone):
-            return [self.whole(t) if t else 0 for t in texts]
-        plain = [t if t and MARK not in t else None for t in texts]  # a mark inside a text is like a space
-        cached = self.cache.encode(plain)
-        return [0 if not t else n if p else self.whole(t) for t, p, n in zip(texts, plain, cached, strict=True)]
+            return np.array([self.whole(t) if t else 0 for t in column.to_pylist()], np.int64)
+        marked = pc.match_substring(column, MARK)  # a mark inside a text is like a space
+        plain, out, at = pc.if_else(marked, "", column), np.zeros(len(column), np.int64), 0
+        for part in text_slices(plain):
+            values, ends = self.cache.encode(part)
+            out[at : at + len(part)] = np.diff(np.append(0, np.cumsum(values))[ends], prepend=0)
+            at += len(part)
+        for i in np.flatnonzero(marked.to_numpy(zero_copy_only=False)).tolist():
+            out[i] = self.whole(column[i].as_py())
+        return out
 
 
 def _parts(marked: str):
@@ -151,8 +159,7 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", out: str = "n_t
 
     @F.arrow_udf("long")
     def tokens(column: pa.Array) -> pa.Array:
-        c = counter(path)
-        return pa.array(np.array(flatten(c.counts(part) for part in slices(column)), np.int64))
+        return pa.array(counter(path).counts(column))
 
     return with_columns(docs, {out: tokens(F.col(text).cast("string"))})
 

@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 
 from . import huffman
 from .byte_bpe import tokenizer
-from .common import fresh_dir, partitions, remove_dir, slices, write_table
+from .chunks import text_slices
+from .common import fresh_dir, partitions, remove_dir, write_table
 
 #: Tokens after which a block is closed at the next document's end.
 BLOCK_TOKENS = 1 << 17
@@ -35,35 +36,41 @@ _STAGE = "part int, seq long, before long, doc_id long, n long, ids binary"
 _BLOCKS = "part int, seq long, start long, doc_ids array<bigint>, data binary"
 
 
+def _binary(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Runs of numbers as binary values."""
+    at = np.append(0, ends) * values.dtype.itemsize
+    wide = at[-1] > np.iinfo(np.int32).max
+    made = pa.Array.from_buffers(pa.large_binary() if wide else pa.binary(), len(ends), [None, pa.py_buffer(at.astype(np.int64 if wide else np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+    return made.cast(pa.binary()) if wide else made
+
+
 def _stage(docs: DataFrame, path: str, end_id: int | None) -> DataFrame:
     """Ids of each document, in order; ``part``, ``seq`` and ``before`` (ids before it in its part) locate it."""
     spark = docs.sparkSession
 
     def run(batches):
         tok = tokenizer(path)
-        tail = np.array([] if end_id is None else [end_id], tok.dtype).tobytes()
         part, seq, before = TaskContext.get().partitionId(), 0, 0
         counts = np.zeros(len(tok.token_bytes), np.int64)
         for batch in batches:
             names, at = batch.column("doc_id"), 0
-            for texts in slices(batch.column("text")):
-                packed = [x + tail for x in tok.encode_packed(texts)]
-                n = np.array([len(x) for x in packed], np.int64) // tok.dtype.itemsize
-                counts += np.bincount(np.frombuffer(b"".join(packed), tok.dtype), minlength=len(counts))
-                sums = before + np.cumsum(n) - n
-                rows = len(packed)
+            for texts in text_slices(batch.column("text")):
+                ids, ends = tok.encode_flat(texts, end_id)
+                n = np.diff(ends, prepend=0)
+                counts += np.bincount(ids, minlength=len(counts))
+                rows = len(n)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.full(rows, part, np.int32)),
                         pa.array(np.arange(seq, seq + rows, dtype=np.int64)),
-                        pa.array(sums),
+                        pa.array(before + ends - n),
                         names.slice(at, rows),
                         pa.array(n),
-                        pa.array(packed, pa.binary()),
+                        _binary(ids, ends),
                     ],
                     ["part", "seq", "before", "doc_id", "n", "ids"],
                 )
-                at, seq, before = at + rows, seq + rows, before + int(n.sum())
+                at, seq, before = at + rows, seq + rows, before + len(ids)
         used = np.flatnonzero(counts)  # a row for each id that the part has, in place of a document
         rows = len(used)
         same = lambda value, kind: pa.array(np.full(rows, value, kind))
@@ -164,15 +171,14 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 ids, lens = huffman.decode_block(book, batch.column("data")[i].as_py())
-                data, ends = ids.astype("<u4").tobytes(), np.cumsum(lens.astype(np.int64))
+                ends = np.cumsum(lens.astype(np.int64))
                 starts = ends - lens
-                made = [data[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_ids")[i].values,
                         pa.array(starts + batch.column("start")[i].as_py()),
                         pa.array(lens.astype(np.int64)),
-                        pa.array(made, pa.binary()),
+                        _binary(ids.astype("<u4"), ends),
                     ],
                     ["doc_id", "start", "n_tokens", "ids"],
                 )

@@ -7,6 +7,7 @@ import sys
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,14 +158,34 @@ def test_piece_counts_match_the_library():
 
     model, ours = sentencepiece.SentencePieceProcessor(model_file=PIECES), piece_count.PieceCounter(PIECES)
     texts = _fuzz(1) + TEXTS
-    assert ours.counts(texts) == [len(model.encode(t or "")) for t in texts]
-
-
-def test_piece_cache_is_only_a_cache():
-    ours = piece_count.PieceCounter(PIECES)
-    expected = ours.counts(TEXTS)
-    ours.cache.limit = 3
-    assert [n for t in TEXTS for n in ours.counts([t])] == expected
+    assert ours.counts(pa.array(texts)).tolist() == [len(model.encode(t or "")) for t in texts]
+
+
+@pytest.mark.parametrize("limit", [2, 40])
+def test_piece_cache_is_only_a_cache(limit, monkeypatch):
+    ours, tok = piece_count.PieceCounter(PIECES), byte_bpe.ByteLevelTokenizer.from_json(JSON)
+    texts = TEXTS + _fuzz(7, 300)
+    expected, ids = ours.counts(pa.array(texts)).tolist(), [x.tolist() for x in tok.encode(texts)]
+    ours.cache.limit = tok.cache.limit = limit
+    monkeypatch.setattr(chunks, "CACHE_CHARS", 3)
+    assert [n for t in texts for n in ours.counts(pa.array([t], pa.string())).tolist()] == expected
+    assert [x.tolist() for t in texts for x in tok.encode([t])] == ids
+    assert [x.tolist() for x in tok.encode(texts)] == ids
+
+
+def test_long_texts_are_cut_where_it_is_exact(monkeypatch):
+    """Texts beyond the bound go in parts, with the ids and counts of the whole."""
+    texts = [" ".join(t for t in _fuzz(k, 60) if t) for k in range(30)] + [None, "ab cd", _passage]
+    ours, tok = piece_count.PieceCounter(PIECES), byte_bpe.ByteLevelTokenizer.from_json(JSON)
+    expected = ours.counts(pa.array(texts)).tolist()
+    ids, ends = tok.encode_flat(pa.array(texts), 2)
+    for size in (1, 17, 100):
+        monkeypatch.setattr(chunks, "SLICE_BYTES", size)
+        monkeypatch.setattr(chunks.cut_long, "__defaults__", (size,))
+        assert all(" ".join(chunks.cut_long(t)) == t for t in texts if t)
+        assert ours.counts(pa.array(texts)).tolist() == expected
+        got = tok.encode_flat(pa.array(texts), 2)
+        assert got[0].tolist() == ids.tolist() and got[1].tolist() == ends.tolist()
 
 
 def test_token_counts(docs, empty):
@@ -199,15 +220,6 @@ def test_byte_bpe_columns(docs, empty):
     assert byte_bpe.decode(byte_bpe.encode(empty, RANKS), RANKS).count() == 0
 
 
-def test_cut_is_lossless():
-    def text_of(key):
-        return key[:-1] if key[-1:] == " " else key if key[:1] == "\n" else " " + key
-
-    for t in _fuzz(3) + TEXTS:
-        if t:
-            assert "".join(map(text_of, chunks.cut(t))) == t
-
-
 # ---- 4: language ID ----
 
 
