@@ -119,5 +119,10 @@ def unique_name(df: DataFrame, base: str) -> str:
     return name
 
 
+def unique_names(df: DataFrame, *bases: str) -> list[str]:
+    """Names for internal columns that no column of ``df`` has, in any letter case."""
+    return [unique_name(df, f"_{b}") for b in bases]
+
+
 def flatten(parts: Iterable[Iterable]) -> list:
     return [x for part in parts for x in part]
