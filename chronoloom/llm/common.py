@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,14 +23,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-#: Folders of sessions that name none, by application.
+#: Folders of local sessions that name none, by application.
 _OWN: dict[str, str] = {}
+#: Lists of the tables written in each open ``scratch``, the innermost last.
+_OPEN: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one of the application only where that is unset."""
+    """The folder of ``spark.checkpoint.dir``; a temporary one only in a local session, where all tasks see it."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         where = _OWN.setdefault(app, "") or tempfile.mkdtemp(prefix="corpus-")
         _OWN[app] = where
@@ -38,7 +42,32 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _OPEN:
+        _OPEN[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables written inside are deleted when it ends, but for those handed to the function that it yields."""
+    made: list[str] = []
+    kept: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df.table_path)
+        return df
+
+    _OPEN.append(made)
+    try:
+        yield keep
+    finally:
+        _OPEN.remove(made)
+        for path in made:
+            if path not in kept:
+                remove_dir(spark, path)
+        if _OPEN:
+            _OPEN[-1].extend(kept)
 
 
 def remove_dir(spark: SparkSession, path: str) -> None:
@@ -71,7 +100,9 @@ def write_table(df: DataFrame, path: str, codec: str | None = None) -> DataFrame
         writer = writer.option("compression", codec)
     with _clean_shuffles(spark):
         writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.table_path = path
+    return made
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, slices, unique_name, unique_names
+from .common import materialise, scratch, slices, unique_name, unique_names
 from .substring_dedup import sequence_hashes, words_at
 
 #: Words of a shingle.
@@ -231,14 +231,15 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = 13, out: str
     a, b, ka, kb, found = unique_names(docs, "a", "b", "ka", "kb", "found")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
-    members = materialise(items.distinct().mapInArrow(_members(window), _MEMBERS).distinct(), "benchmark-windows")
-    keyed = docs.withColumns({a: F.xxhash64(text), b: F.xxhash64(F.lit(7), text)})
-    hits = materialise(occurring_windows(keyed.select(F.col(a).alias("a"), F.col(b).alias("b"), text.alias("text")), members, window), "occurring-windows")
-    names = hits.select("a", "b", "window").distinct().join(members, "window").groupBy("a", "b").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    span, merged = F.struct("start", "size"), F.arrow_udf(_merged, "array<int>")
-    spans = hits.groupBy("a", "b").agg(F.collect_set(span).alias("runs"), F.collect_set(F.when(F.col("size") >= window, span)).alias("full"))
-    told = spans.select("a", "b", merged("runs").alias("runs"), merged("full").alias("full_runs")).join(names, ["a", "b"])
-    told = materialise(told.select(F.col("a").alias(ka), F.col("b").alias(kb), F.struct("runs", "full_runs", "items").alias(found)), "hits")
+    with scratch(docs.sparkSession) as keep:
+        members = materialise(items.distinct().mapInArrow(_members(window), _MEMBERS).distinct(), "benchmark-windows")
+        keyed = docs.withColumns({a: F.xxhash64(text), b: F.xxhash64(F.lit(7), text)})
+        hits = materialise(occurring_windows(keyed.select(F.col(a).alias("a"), F.col(b).alias("b"), text.alias("text")), members, window), "occurring-windows")
+        names = hits.select("a", "b", "window").distinct().join(members, "window").groupBy("a", "b").agg(F.array_sort(F.collect_set("item")).alias("items"))
+        span, merged = F.struct("start", "size"), F.arrow_udf(_merged, "array<int>")
+        spans = hits.groupBy("a", "b").agg(F.collect_set(span).alias("runs"), F.collect_set(F.when(F.col("size") >= window, span)).alias("full"))
+        told = spans.select("a", "b", merged("runs").alias("runs"), merged("full").alias("full_runs")).join(names, ["a", "b"])
+        told = keep(materialise(told.select(F.col("a").alias(ka), F.col("b").alias(kb), F.struct("runs", "full_runs", "items").alias(found)), "hits"))
     n_words = F.regexp_count(text, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long")
     none = F.array().cast("array<int>")
     made = F.struct(

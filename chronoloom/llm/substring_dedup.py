@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, partitions, slices, unique_names
+from .common import materialise, partitions, scratch, slices, unique_names
 
 #: Words of a prefix; groups that are too large go on to the next, and after the last to whole windows.
 PREFIXES = (6, 12)
@@ -483,8 +483,9 @@ def remove_repeats(docs: DataFrame, window: int = 20, out: str = "kept_words", *
     k, ka, kb, a, b, first, runs, made = unique_names(docs, "k", "ka", "kb", "a", "b", "first", "runs", "made")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.withColumns({k: F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), ka: F.xxhash64(text), kb: F.xxhash64(F.lit(7), text)})
-    found = repeated_windows(keyed.select(F.col(k).alias("doc"), F.col(ka).alias("a"), F.col(kb).alias("b"), text.alias("text")), window, **how)
-    found = materialise(found.select(F.col("a").alias(a), F.col("b").alias(b), F.col("first").alias(first), F.col("runs").alias(runs)), "removed-runs")
+    with scratch(docs.sparkSession) as keep:
+        found = repeated_windows(keyed.select(F.col(k).alias("doc"), F.col(ka).alias("a"), F.col(kb).alias("b"), text.alias("text")), window, **how)
+        found = keep(materialise(found.select(F.col("a").alias(a), F.col("b").alias(b), F.col("first").alias(first), F.col("runs").alias(runs)), "removed-runs"))
     met = keyed.join(found, (F.col(ka) == F.col(a)) & (F.col(kb) == F.col(b)))
     words = F.expr(f"size(filter(split(coalesce(cast(text AS string), ''), '[ \\\\x09-\\\\x0D]+', {window + 2}), w -> w != ''))")
     without = F.arrow_udf(_without, "struct<n_words:bigint,n_removed:bigint,kept:string>")
