@@ -9,9 +9,12 @@ back for each document is the run-length coded bitmap of its dropped lines;
 texts only meet their own bitmap.
 
 Defined cases: null and empty texts have one empty line, whose empty key never
-counts; rows of one doc_id and text are one document's worth of bitmap and each
-keeps its row; null doc_ids are documents; an empty table gives no rows;
-further columns stay, one of an output's name is replaced.
+counts; rows of one doc_id (or of none) and one text are one document when keys
+are counted, those of one doc_id and different texts are several; each row
+stays, with its own lines; of equal first lines that of the least hash of its
+text counts as first; a line or text of any length is hashed whole; an empty
+table gives no rows; further columns stay whatever their names, one of an
+output's name is replaced.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, partitions
+from .common import materialise, partitions, unique_names
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -80,22 +83,24 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_f
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, kept: str = "kept_text") -> DataFrame:
     """Adds n_lines, n_dropped, drop_runs and the kept text to every row of ``docs``."""
-    left = docs.withColumns({"_row": _row_hash(1), "_id": F.col("doc_id").cast("long")})
-    right = bitmaps.select(F.col("doc_id").alias("_bid"), F.col("row").alias("_brow"), F.col("n_dropped").alias("_n"), F.col("drop_runs").alias("_runs"))
-    met = left.join(right, (F.col("_row") == F.col("_brow")) & F.col("_id").eqNullSafe(F.col("_bid")), "left")
-    met = met.withColumn("_lines", lines_of(F.col("text")))
-    count = F.size("_runs") / 2
-    past = lambda k: F.when(k == 0, 0).otherwise(F.get("_runs", 2 * k - 2) + F.get("_runs", 2 * k - 1))
-    until = lambda k: F.coalesce(F.get("_runs", 2 * k), F.size("_lines"))
-    stay = F.flatten(F.transform(F.sequence(F.lit(0), count.cast("int")), lambda k: F.slice("_lines", past(k) + 1, until(k) - past(k))))
-    text = F.when(F.col("_n").isNull(), F.coalesce(F.col("text").cast("string"), F.lit(""))).otherwise(F.array_join(stay, "\n"))
+    docs = docs.drop("n_lines", "n_dropped", "drop_runs", *([kept] if kept not in ("doc_id", "text") else []))
+    row, own, bid, brow, n, runs, lines = unique_names(docs, "row", "id", "bid", "brow", "n", "runs", "lines")
+    left = docs.withColumns({row: _row_hash(1), own: F.col("doc_id").cast("long")})
+    right = bitmaps.select(F.col("doc_id").alias(bid), F.col("row").alias(brow), F.col("n_dropped").alias(n), F.col("drop_runs").alias(runs))
+    met = left.join(right, (F.col(row) == F.col(brow)) & F.col(own).eqNullSafe(F.col(bid)), "left")
+    met = met.withColumn(lines, lines_of(F.col("text")))
+    count = F.size(runs) / 2
+    past = lambda k: F.when(k == 0, 0).otherwise(F.get(runs, 2 * k - 2) + F.get(runs, 2 * k - 1))
+    until = lambda k: F.coalesce(F.get(runs, 2 * k), F.size(lines))
+    stay = F.flatten(F.transform(F.sequence(F.lit(0), count.cast("int")), lambda k: F.slice(lines, past(k) + 1, until(k) - past(k))))
+    text = F.when(F.col(n).isNull(), F.coalesce(F.col("text").cast("string"), F.lit(""))).otherwise(F.array_join(stay, "\n"))
     made = {
-        "n_lines": F.size("_lines").cast("long"),
-        "n_dropped": F.coalesce(F.col("_n"), F.lit(0).cast("long")),
-        "drop_runs": F.coalesce(F.col("_runs"), F.array().cast("array<int>")),
+        "n_lines": F.size(lines).cast("long"),
+        "n_dropped": F.coalesce(F.col(n), F.lit(0).cast("long")),
+        "drop_runs": F.coalesce(F.col(runs), F.array().cast("array<int>")),
         kept: text,
     }
-    return met.withColumns(made).drop("_row", "_id", "_bid", "_brow", "_n", "_runs", "_lines")
+    return met.withColumns(made).drop(row, own, bid, brow, n, runs, lines)
 
 
 __all__ = ["apply_bitmaps", "keep_bitmaps", "key_of", "lines_of"]

@@ -55,16 +55,18 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP6_SQL = r"""
-WITH line AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+WITH doc AS (SELECT *, row_number() OVER () AS n, md5(coalesce(text, '')) AS text_md5 FROM documents),
+line AS (
+  SELECT n, doc_id, text_md5, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
          unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos
-  FROM documents),
+  FROM doc),
 keyed AS (SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
                               'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM line),
-common AS (SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+common AS (SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key
+           HAVING count(DISTINCT (doc_id, text_md5)) >= 10)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (key IN (FROM common)) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (key NOT IN (FROM common)), '')) AS kept_sha256
-FROM keyed GROUP BY doc_id
+FROM keyed GROUP BY n, doc_id
 """
 
 
