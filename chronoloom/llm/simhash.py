@@ -14,13 +14,17 @@ three bits meets, and is verified by its bits.
 Equal fingerprints are one node.  Rows of a key are streamed by sorted
 partition; within a key only a spanning forest of the verified links goes on,
 so a group of near copies yields a number of links in proportion to its size.
-With ``segments=4`` (16 bits each, three of four within one bit) keys are of 36
-bits, for corpora so large that 24-bit keys hold too many fingerprints each.
+A key under which many fingerprints are stored is split into parts.  With four
+segments (16 bits each, three of four within one bit) keys are of 36 bits, for
+corpora so large that 24-bit keys hold too many fingerprints each; both forms
+find every pair.
 
 Defined cases: a null text has no words and the fingerprint zero, like any text
 without words; rows of one doc_id are one document; a null doc_id is never the
-name of a group that has another and its component_id is the group's; an empty
-table gives no rows; further columns stay where rows are filtered.
+name of a group that has another and its component_id is the group's; exactly
+half of the shingles' bits is no majority; texts of any length are hashed
+whole; an empty table gives no rows; further columns stay where rows are
+filtered, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,12 +38,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, partitions, slices
+from .common import materialise, partitions, scratch, slices, unique_name
 from .components import connected_components
 
 #: Generator polynomial of the binary Golay code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GOLAY = 0b110001110101
 SEED = 42
+#: Fingerprints up to which keys of 24 bits hold few each; beyond it keys have 36 bits.
+SHORT_KEYS = 50_000_000
+#: Stored fingerprints of a key that one task compares; those of a larger key are dealt to parts, and lookups go to each.
+PART = 4096
+#: Rows of a part that are held at once.
+HELD = 200_000
 
 
 @lru_cache(maxsize=1)
@@ -195,20 +205,35 @@ def _forest(stored: np.ndarray, asked: np.ndarray, max_bits: int) -> list[tuple[
     return links
 
 
+def _own_keys(segments: int):
+    """The keys that fingerprints are stored under."""
+
+    def run(batches):
+        for batch in _key_rows(segments)(batches):
+            stored = batch.column("stored")
+            yield pa.RecordBatch.from_arrays([batch.column("key").filter(stored)], ["key"])
+
+    return run
+
+
 def _links(max_bits: int):
-    """Streams over sorted keys, a run of equal keys at a time; runs without both sides go at once."""
+    """Streams over rows sorted by key and part, those stored first; a part's stored rows are all that is held for long."""
 
     def run(batches):
         rest = None
         for batch in batches:
-            rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+            rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "part", "fp", "stored")]
             if rest is not None:
                 rows = [np.concatenate(x) for x in zip(rest, rows, strict=True)]
             if not len(rows[0]):
                 continue
-            cut = int(np.searchsorted(rows[0], rows[0][-1]))
+            last = (rows[0] == rows[0][-1]) & (rows[1] == rows[1][-1])
+            cut = len(last) - int(last.sum())
             rest = [x[cut:] for x in rows]
             yield from _runs([x[:cut] for x in rows], max_bits)
+            if len(rest[0]) > HELD:  # lookups of a long run go in pieces
+                yield from _runs(rest, max_bits)
+                rest = [x[: int(rest[3].sum())] for x in rest]
         if rest is not None:
             yield from _runs(rest, max_bits)
 
@@ -216,10 +241,10 @@ def _links(max_bits: int):
 
 
 def _runs(rows: list[np.ndarray], max_bits: int):
-    key, fp, stored = rows
+    key, part, fp, stored = rows
     if not len(key):
         return
-    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1])]))
     ends = np.concatenate([starts[1:], [len(key)]])
     kept = np.add.reduceat(stored.astype(np.int64), starts)
     asked = ends - starts - kept
@@ -247,25 +272,36 @@ def _small_pairs(starts, kept, asked, fp, stored):
     return fp[starts[run] + k // asked[run]], fp[starts[run] + kept[run] + k % asked[run]]
 
 
-def groups(nodes: DataFrame, max_bits: int = 3, segments: int = 3) -> DataFrame:
-    """``nodes`` (fp): (fp, component) of the fingerprints that have a link; component names its group."""
-    if not (segments, max_bits <= 3) in ((3, True), (4, True)):
+def groups(nodes: DataFrame, max_bits: int = 3, segments: int | None = None) -> DataFrame:
+    """``nodes`` (fp): (fp, component) of the fingerprints that have a link; component names its group.
+
+    ``segments`` (3 or 4; both find all pairs) goes by the number of fingerprints where it isn't given.
+    """
+    if segments is None:
+        segments = 3 if nodes.count() <= SHORT_KEYS else 4
+    if segments not in (3, 4) or max_bits > 3:
         raise ValueError("3 or 4 segments, up to 3 bits")
     n = partitions(nodes.sparkSession)
+    counts = nodes.mapInArrow(_own_keys(segments), "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    hot = counts.where(F.col("n") > PART).select("key", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
     rows = nodes.mapInArrow(_key_rows(segments), "key long, fp long, stored boolean")
-    dealt = rows.repartition(n, "key").sortWithinPartitions("key", F.col("stored").desc())
+    split = rows.join(materialise(hot, "hot-keys"), "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    of = F.when(F.col("stored"), F.array(F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
+    split = split.select("key", F.explode(of).alias("part"), "fp", "stored")
+    dealt = split.repartition(n, "key", "part").sortWithinPartitions("key", "part", F.col("stored").desc())
     links = dealt.mapInArrow(_links(max_bits), "a long, b long")
     return connected_components(links).select(F.col("node").alias("fp"), "component")
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 3, segments: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 3, segments: int | None = None) -> DataFrame:
     """doc_id, fp (long) and component_id (the smallest doc_id that links reach) for every row of ``docs``."""
-    marked = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprints(docs, words).alias("fp")), "fingerprints")
-    nodes = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-nodes")
-    found = groups(nodes.select("fp"), max_bits, segments)
-    named = nodes.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    labels = materialise(named.select("fp", "component").join(least, "component").select("fp", "component_id"), "fingerprint-labels")
+    with scratch(docs.sparkSession) as keep:
+        marked = keep(materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprints(docs, words).alias("fp")), "fingerprints"))
+        nodes = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-nodes")
+        found = groups(nodes.select("fp"), max_bits, segments)
+        named = nodes.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+        least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+        labels = keep(materialise(named.select("fp", "component").join(least, "component").select("fp", "component_id"), "fingerprint-labels"))
     return marked.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -276,8 +312,9 @@ def keep_one(docs: DataFrame, words: int = 5, max_bits: int = 3) -> DataFrame:
     group.  ``near_copies.keep_one``, which the pipeline runs, leaves one row of a group whatever its ids.
     """
     found = near_duplicates(docs, words, max_bits)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    name = unique_name(docs, "_gone")
+    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")
 
 
 __all__ = ["fingerprints", "groups", "keep_one", "near_duplicates"]
