@@ -14,14 +14,17 @@ of ``CHUNK``, and its queries go to every chunk, so a cell may hold any number.
 Only counts of links and a spanning forest for each chunk go on, never pairs.
 A pair is found if either vector visits the other's cell, and counts for both.
 
-The codebooks are fitted on at most about ``FIT_ROWS`` vectors, the cells are
-calibrated with about ``PROBES`` queries; every vector is indexed and is a query.
+The codebooks are fitted on about ``FIT_ROWS`` vectors (eight for each codeword
+of a large table), the cells are calibrated with about ``PROBES`` queries; every
+vector is indexed and is a query.  ``recall=1`` finds all links, and
+``measured_recall`` tells the share of a result.
 
 Defined cases: a vector that is null, empty, zero, or holds a null or
 non-finite component links with nothing; vectors of different lengths don't
 link; rows of one vec_id count as vectors each and share a component; a null
-vec_id is never the name of a component that has another; an empty table gives
-no rows.
+vec_id is never the name of a component that has another; a cosine of exactly
+the limit links; vectors of any length are compared whole; an empty table gives
+no rows; the result has its own columns only, whatever those of the input.
 """
 
 from __future__ import annotations
@@ -33,10 +36,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, partitions
+from .common import materialise, partitions, scratch
 from .components import connected_components
 
 FIT_ROWS = 20_000
+#: Codewords of a half at most: with about four vectors a cell that is a billion vectors.
+WORDS = 1 << 14
 PROBES = 512
 CHUNK = 4000
 #: Made partners of each probe.
@@ -71,7 +76,7 @@ def fit_codebook(x: np.ndarray, size: int, seed: int = 1) -> np.ndarray:
     rows = np.unique(x, axis=0)
     words = rows[rng.permutation(len(rows))[:size]]
     for _ in range(_ROUNDS):
-        of = _distances(x, words).argmin(1)
+        of = np.concatenate([_distances(x[at : at + 2000], words).argmin(1) for at in range(0, len(x), 2000)])
         n = np.bincount(of, minlength=len(words))
         total = np.zeros_like(words)
         np.add.at(total, of, x)
@@ -79,9 +84,18 @@ def fit_codebook(x: np.ndarray, size: int, seed: int = 1) -> np.ndarray:
     return words
 
 
+def nearest(d: np.ndarray, count: int) -> np.ndarray:
+    """The codewords in order of distance, as far as ``count`` cells can reach."""
+    if count >= len(d):
+        return np.argsort(d, kind="stable")
+    limit = np.partition(d, count - 1)[count - 1]
+    near = np.flatnonzero(d <= limit)
+    return near[np.argsort(d[near], kind="stable")]
+
+
 def traversal(d1: np.ndarray, d2: np.ndarray, count: int) -> list[tuple[int, int]]:
     """The ``count`` cells with the least d1[i] + d2[j], nearest first."""
-    o1, o2 = np.argsort(d1, kind="stable"), np.argsort(d2, kind="stable")
+    o1, o2 = nearest(d1, count), nearest(d2, count)
     a, b = d1[o1].tolist(), d2[o2].tolist()
     heap, out = [(a[0] + b[0], 0, 0)], []
     while heap and len(out) < count:
@@ -114,6 +128,19 @@ class Grid:
         return [[i * n + j for i, j in traversal(a, b, count)] for a, b in zip(d1, d2, strict=True)]
 
 
+    def all_visits(self, d1: np.ndarray, d2: np.ndarray, reach: tuple[np.ndarray, np.ndarray], limit: float) -> list[list[int]]:
+        """The cells that can hold a vector within the squared distance ``limit``: ``reach`` says how far from each
+        codeword its vectors are."""
+        near = [np.maximum(np.sqrt(d) - r, 0) ** 2 for d, r in zip((d1, d2), reach, strict=True)]
+        n = len(self.books[1])
+        out = []
+        for a, b in zip(*near, strict=True):
+            i, j = np.flatnonzero(a <= limit), np.flatnonzero(b <= limit)
+            p, q = np.nonzero(a[i][:, None] + b[j][None, :] <= limit)
+            out.append((i[p] * n + j[q]).tolist())
+        return out
+
+
 def padded(vectors: list, width: int) -> np.ndarray:
     """Lists, or the bytes of their doubles, as rows of one width."""
     if vectors and isinstance(vectors[0], bytes):
@@ -209,10 +236,31 @@ def _calibrate(nodes: DataFrame, grid: Grid, probes: np.ndarray, least: float, r
     return max(count, int(rank.max()) + 1)
 
 
-_INDEXED = "a long, b long, n long, len int, unit binary, cell int, visits array<int>"
+def _reach(nodes: DataFrame, grid: Grid) -> tuple[np.ndarray, np.ndarray]:
+    """How far the vectors of each codeword are from it, over all rows: one number for each codeword."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                x = padded(batch.column("unit").slice(at, 2000).to_pylist(), grid.width)
+                for k, d in enumerate(grid.distances(x)):
+                    word, far = d.argmin(1), np.sqrt(d.min(1))
+                    used = np.unique(word)
+                    most = np.zeros(d.shape[1])
+                    np.maximum.at(most, word, far)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), k, np.int32)), pa.array(used.astype(np.int32)), pa.array(most[used])], ["book", "word", "far"])
+
+    found = nodes.select("unit").mapInArrow(run, "book int, word int, far double").groupBy("book", "word").agg(F.max("far").alias("far")).collect()
+    out = tuple(np.full(len(b), -1e9) for b in grid.books)  # a codeword without vectors is out of reach
+    for r in found:
+        out[r.book][r.word] = r.far + 1e-9
+    return out
+
+
+_INDEXED = "node long, n long, len int, unit binary, cell int, visits array<int>"
 
 
-def _index(grid: Grid, count: int):
+def _index(grid: Grid, count: int, reach=None, limit: float = 0.0):
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
@@ -222,13 +270,12 @@ def _index(grid: Grid, count: int):
                 d1, d2 = grid.distances(x)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column("a"),
-                        part.column("b"),
+                        part.column("node"),
                         part.column("n"),
                         pa.array([len(v) for v in vectors], pa.int32()),
                         pa.array([np.array(v, np.float64).tobytes() for v in vectors], pa.binary()),
                         pa.array(grid.cells(d1, d2).astype(np.int32)),
-                        pa.array(grid.visits(d1, d2, count), pa.list_(pa.int32())),
+                        pa.array(grid.visits(d1, d2, count) if reach is None else grid.all_visits(d1, d2, reach, limit), pa.list_(pa.int32())),
                     ],
                     [c.split()[0] for c in _INDEXED.split(", ")],
                 )
@@ -240,10 +287,10 @@ def _search(least: float, width: int):
     """Compares the queries of each (cell, chunk) with its stored vectors; streams over sorted rows."""
 
     def chunk_links(stored, queries):
-        sx, qx = padded([r[6] for r in stored], width), padded([r[6] for r in queries], width)
-        sn, slen = np.array([r[4] for r in stored]), np.array([r[5] for r in stored])
-        skey = [(r[2], r[3]) for r in stored]
-        visits = [set(r[8]) for r in stored]
+        sx, qx = padded([r[5] for r in stored], width), padded([r[5] for r in queries], width)
+        sn, slen = np.array([r[3] for r in stored]), np.array([r[4] for r in stored])
+        names = np.array([r[2] for r in stored])
+        visits = [set(r[7]) for r in stored]
         parent: dict = {}
 
         def root(k):
@@ -255,39 +302,34 @@ def _search(least: float, width: int):
         for lo in range(0, len(queries), 512):
             near = qx[lo : lo + 512] @ sx.T >= least
             for i in np.flatnonzero(near.any(1)).tolist():
-                hit = np.flatnonzero(near[i])
                 q = queries[lo + i]
-                key = (q[2], q[3])
-                hit = hit[slen[hit] == q[5]]
-                own = [h for h in hit.tolist() if skey[h] != key]
-                for h in own:
-                    a, b = root(key), root(skey[h])
+                own = np.flatnonzero(near[i] & (slen == q[4]) & (names != q[2]))
+                for h, other in zip(own.tolist(), names[own].tolist(), strict=True):
+                    a, b = root(q[2]), root(other)
                     if a != b:
                         parent[b] = a
-                        yield key, 0, skey[h]
-                    if q[7] not in visits[h]:
-                        back[h] += q[4]  # the stored vector doesn't visit this query's cell: it learns of the link here
-                if own:
-                    yield key, int(sn[own].sum()), None
+                        yield q[2], 0, other
+                    if q[6] not in visits[h]:
+                        back[h] += q[3]  # the stored vector doesn't visit this query's cell: it learns of the link here
+                if len(own):
+                    yield q[2], int(sn[own].sum()), None
         for h in np.flatnonzero(back).tolist():
-            yield skey[h], int(back[h]), None
-
-    names = ["a", "b", "n", "c", "d"]
+            yield int(names[h]), int(back[h]), None
 
     def out(found):
-        rows = [(k[0], k[1], n, *(o or (None, None))) for k, n, o in found]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names) if rows else None
+        rows = list(found)
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["node", "n", "other"]) if rows else None
 
     def run(batches):
         here, stored, queries = None, [], []
-        columns = ("at", "chunk", "a", "b", "n", "len", "unit", "cell", "visits", "stored")
+        columns = ("at", "chunk", "node", "n", "len", "unit", "cell", "visits", "stored")
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
                 if row[:2] != here:
                     if stored and queries and (made := out(chunk_links(stored, queries))):
                         yield made
                     here, stored, queries = row[:2], [], []
-                if row[9]:
+                if row[8]:
                     stored.append(row)
                     continue
                 queries.append(row)
@@ -302,41 +344,82 @@ def _search(least: float, width: int):
 
 
 def near_vectors(vectors: DataFrame, least: float = 0.95, recall: float = 0.999, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """id, n_links (other vectors with a cosine of ``least`` or more that were found) and component_id for every row."""
+    """id, n_links (other vectors with a cosine of ``least`` or more that were found) and component_id for every row.
+
+    With a ``recall`` of 1 every cell is visited that can hold a partner, by the distances of its codewords and how far
+    their vectors are from these: then all links are found, for more work.
+    """
+    with scratch(vectors.sparkSession) as keep:
+        return _near_vectors(vectors, least, recall, id_col, vector, keep)
+
+
+def _near_vectors(vectors: DataFrame, least: float, recall: float, id_col: str, vector: str, keep) -> DataFrame:
     spark = vectors.sparkSession
-    rows = materialise(_nodes(vectors, id_col, vector), "vectors")
+    rows = keep(materialise(_nodes(vectors, id_col, vector), "vectors"))
     usable = rows.where("unit IS NOT NULL")
     nodes = usable.groupBy("a", "b").agg(F.min("id").alias("least_id"), F.count(F.lit(1)).alias("n"), F.first("unit").alias("unit"))
-    nodes = materialise(nodes, "vector-nodes")
+    nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "vector-nodes")  # numbers that the table holds: no two nodes share one
     total, width = nodes.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("unit")).alias("w")).first()
     if not total:
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     draw = lambda k, n: F.pmod(F.xxhash64(F.lit(k), "a", "b"), F.lit(1 << 40)) < int((1 << 40) * min(1.0, n / total))
-    sample = padded([r.unit for r in nodes.where(draw(3, FIT_ROWS)).orderBy("a", "b").limit(2 * FIT_ROWS).select("unit").collect()] or [nodes.first().unit], width)
     # about four vectors a cell, so that the work of a query stays level as the table grows
-    size = int(min(1024, max(4, 2 ** round(np.log2(max(1.0, total / 4)) / 2))))
+    size = int(min(WORDS, max(4, 2 ** round(np.log2(max(1.0, total / 4)) / 2))))
+    fit_rows = max(FIT_ROWS, 8 * size)
+    sample = padded([r.unit for r in nodes.where(draw(3, fit_rows)).orderBy("a", "b").limit(2 * fit_rows).select("unit").collect()] or [nodes.first().unit], width)
     grid = Grid.fit(sample, size)
-    drawn = [r.unit for r in nodes.where(draw(4, PROBES)).orderBy("a", "b").limit(2 * PROBES).select("unit").collect()] or [nodes.first().unit]
-    count = _calibrate(nodes, grid, padded(drawn, width), least, recall, np.array(list(map(len, drawn))))
-    indexed = materialise(nodes.select("a", "b", "n", "unit").mapInArrow(_index(grid, count), _INDEXED), "vector-index")
+    if recall < 1:
+        drawn = [r.unit for r in nodes.where(draw(4, PROBES)).orderBy("a", "b").limit(2 * PROBES).select("unit").collect()] or [nodes.first().unit]
+        count = _calibrate(nodes, grid, padded(drawn, width), least, recall, np.array(list(map(len, drawn))))
+        index = _index(grid, count)
+    else:
+        index = _index(grid, 0, _reach(nodes, grid), 2 - 2 * least + 1e-9)
+    indexed = materialise(nodes.select("node", "n", "unit").mapInArrow(index, _INDEXED), "vector-index")
     cells = materialise(indexed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks")), "vector-cells")
     stored = indexed.join(cells, "cell").select(
-        F.col("cell").alias("at"), F.pmod(F.col("a"), F.col("chunks")).cast("int").alias("chunk"), "a", "b", "n", "len", "unit", "cell", "visits", F.lit(True).alias("stored")
+        F.col("cell").alias("at"), F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"), "node", "n", "len", "unit", "cell", "visits", F.lit(True).alias("stored")
     )
-    asked = indexed.select(F.explode("visits").alias("at"), "a", "b", "n", "len", "unit", "cell")
+    asked = indexed.select(F.explode("visits").alias("at"), "node", "n", "len", "unit", "cell")
     asked = asked.join(cells.withColumnRenamed("cell", "at"), "at").select(
-        "at", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "a", "b", "n", "len", "unit", "cell", F.lit(None).cast("array<int>").alias("visits"), F.lit(False).alias("stored")
+        "at", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "node", "n", "len", "unit", "cell", F.lit(None).cast("array<int>").alias("visits"), F.lit(False).alias("stored")
     )
     dealt = stored.unionByName(asked).repartition(partitions(spark), "at", "chunk").sortWithinPartitions("at", "chunk", F.col("stored").desc())
-    found = materialise(dealt.mapInArrow(_search(least, width), "a long, b long, n long, c long, d long"), "vector-links")
-    links = found.where("c IS NOT NULL").select("a", "b", "c", "d")
-    named = nodes.select("a", "b", "least_id", "n")
-    labels = connected_components(links.select(F.xxhash64("a", "b").alias("a"), F.xxhash64("c", "d").alias("b")))
-    counts = found.where("c IS NULL").groupBy("a", "b").agg(F.sum("n").alias("others"))
-    with_label = named.withColumn("node", F.xxhash64("a", "b")).join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    found = materialise(dealt.mapInArrow(_search(least, width), "node long, n long, other long"), "vector-links")
+    labels = connected_components(found.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")))
+    counts = found.where("other IS NULL").groupBy("node").agg(F.sum("n").alias("others"))
+    with_label = nodes.select("a", "b", "node", "least_id", "n").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = with_label.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    per_node = with_label.join(ids, "component").join(counts, ["a", "b"], "left")
-    per_node = materialise(per_node.select("a", "b", "component_id", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links")), "vector-labels")
+    per_node = with_label.join(ids, "component").join(counts, "node", "left")
+    per_node = keep(materialise(per_node.select("a", "b", "component_id", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links")), "vector-labels"))
     met = usable.select("id", "a", "b").join(per_node, ["a", "b"]).select(F.col("id").alias(id_col), "n_links", "component_id")
     alone = rows.where("unit IS NULL").select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return met.unionByName(alone)
+
+
+def measured_recall(vectors: DataFrame, found: DataFrame, least: float = 0.95, probes: int = PROBES, id_col: str = "vec_id", vector: str = "embedding") -> float:
+    """The share of links found: those of about ``probes`` vectors with a non-null id, by brute force against all rows."""
+    total = vectors.count()
+    drawn = vectors.where(F.col(id_col).isNotNull() & (F.pmod(F.xxhash64(F.lit(6), id_col), F.lit(1 << 40)) < int((1 << 40) * min(1.0, probes / max(1, total)))))
+    rows = [(r[0], u) for r in drawn.select(id_col, F.col(vector).cast("array<double>")).limit(4 * probes).collect() if (u := unit(r[1])) is not None]
+    if not rows:
+        return 1.0
+
+    def run(batches):
+        count = np.zeros(len(rows), np.int64)
+        for batch in batches:
+            others = [u for v in batch.column("v").to_pylist() if (u := unit(v)) is not None]
+            for size in {len(u) for u in others}:
+                x = np.array([u for u in others if len(u) == size])
+                for i, (_, u) in enumerate(rows):
+                    if len(u) == size:
+                        count[i] += int((x @ u >= least).sum())
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows))), pa.array(count)], ["probe", "n"])
+
+    counted = vectors.select(F.col(vector).cast("array<double>").alias("v")).mapInArrow(run, "probe long, n long").groupBy("probe").agg(F.sum("n").alias("n")).collect()
+    true = {rows[r.probe][0]: r.n - 1 for r in counted}  # without itself
+    ours = {r[0]: r[1] for r in found.where(F.col(id_col).isin(list(true))).groupBy(id_col).agg(F.min("n_links")).collect()}
+    every = sum(true.values())
+    return sum(min(ours.get(k, 0), n) for k, n in true.items()) / every if every else 1.0
+
+
+__all__ = ["Grid", "measured_recall", "near_vectors", "traversal", "unit"]
