@@ -12,18 +12,23 @@ which place follows from its rank in the class.
 Ranks and slots come from counts for each (class or shard, hash bucket) and a
 rank inside the bucket, so no task sorts more than one bucket's share.
 
-Defined cases: a null text is a group of its own with no bytes; null or
-repeated doc_ids are rows like others; an empty table gives no rows.
+Defined cases: all null texts are one group, of no bytes but ``overhead`` each;
+null or repeated doc_ids are rows like others; shards of equal load are taken
+in order of their numbers, groups of one class in order of their hashes; a text
+of any length counts with all its bytes; an empty table gives no rows; the
+result has its own columns only, whatever those of the input are called.
 """
 
 from __future__ import annotations
 
 import heapq
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, text_key
+from .common import materialise, scratch, text_key
 
 EXACT_BITS = 16
 MANTISSA_BITS = 10
@@ -84,6 +89,12 @@ def _ranked(df: DataFrame, by: str, bucket, order: list, name: str) -> DataFrame
 
 def assign(docs: DataFrame, shards: int = 40, overhead: int = 16) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot for every row; the law kept is that of near-equal bytes."""
+    spark = docs.sparkSession
+    with scratch(spark) as keep:
+        return _assign(docs, shards, overhead, keep)
+
+
+def _assign(docs: DataFrame, shards: int, overhead: int, keep) -> DataFrame:
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(
@@ -98,21 +109,22 @@ def assign(docs: DataFrame, shards: int = 40, overhead: int = 16) -> DataFrame:
     groups = materialise(groups, "shard-groups")
     classes = [(r["class"], r.n, r.total) for r in groups.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("total")).collect()]
     plan = schedule(classes, shards)
-    # ranks [low, high) of a class go to a shard: at most one run for each shard and class
-    steps = [(cls, list(_runs(runs))) for cls, runs in plan.items()]
-    dealt = spark.createDataFrame(steps, "class long, runs array<struct<upto:long,shard:int>>")
+    dealt = materialise(spark.createDataFrame(_steps(plan)), "shard-plan")
     bucket = F.pmod(F.xxhash64("ka", "kb"), F.lit(BUCKETS)).cast("int")
     ranked = _ranked(groups, "class", bucket, ["ka", "kb"], "rank")
-    placed = ranked.join(F.broadcast(dealt), "class")
-    first = F.filter("runs", lambda r: r["upto"] > F.col("rank"))
-    placed = placed.select("ka", "kb", first[0]["shard"].alias("shard"))
+    placed = ranked.join(dealt, "class")  # Spark goes by the table's size: broadcast where that is small, else by class
+    run = F.size(F.filter("upto", lambda u: u <= F.col("rank")))
+    placed = placed.select("ka", "kb", F.get("shards", run).alias("shard"))
     out = rows.join(placed, ["ka", "kb"]).select("doc_id", "size", "text_crc32", "shard")
     spread = F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(BUCKETS)).cast("int")
-    return _ranked(materialise(out, "shard-placed"), "shard", spread, ["doc_id", "text_crc32"], "slot")
+    return _ranked(keep(materialise(out, "shard-placed")), "shard", spread, ["doc_id", "text_crc32"], "slot")
 
 
-def _runs(runs: list[tuple[int, int]]):
-    upto = 0
-    for shard, n in runs:
-        upto += n
-        yield upto, shard
+def _steps(plan: dict[int, list[tuple[int, int]]]) -> pa.Table:
+    """For each class where the ranks end that go to a shard, and that shard: at most one run for each shard."""
+    ends = np.cumsum([0] + [len(runs) for runs in plan.values()]).astype(np.int32)
+    shards = np.array([s for runs in plan.values() for s, _ in runs], np.int32)
+    upto = [np.cumsum([n for _, n in runs]) for runs in plan.values()]
+    flat = np.concatenate(upto).astype(np.int64) if upto else np.empty(0, np.int64)
+    lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(values)) for values in (flat, shards)]
+    return pa.table([pa.array(list(plan), pa.int64()), *lists], ["class", "upto", "shards"])
