@@ -14,8 +14,10 @@ text is ``rejected``.
 
 Defined cases: a text that is null or has no letter gets ``und``, score 0 and is
 rejected; rows without a language or id don't train; with no labelled row at
-all every text gets ``und``; further columns stay, one of an output's name is
-replaced.
+all every text gets ``und``; of languages with equal cross-entropies the first
+by name is taken, of those with equally many documents too; texts of any length
+are scored whole; an empty table gives no rows; further columns stay whatever
+their names, one of an output's name is replaced.
 """
 
 from __future__ import annotations
@@ -29,11 +31,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, unique_name
 
 ORDER = 4
 #: Labelled documents of each language that fit the models; the bound of all that is gathered.
 TRAIN_DOCS = 2500
+#: Languages that are learned: those of the most labelled documents (a value beyond them is taken for a slip).
+LANGUAGES = 1000
 UNKNOWN = "und"
 #: Words a worker remembers the scores of before it starts afresh.
 CACHE_WORDS = 300_000
@@ -231,15 +235,12 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Models:
     """Models from (doc_id, text, lang) of documents that aren't held out; ``train_docs`` of each language, about."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
-    if not sizes:
-        return Models([], [], np.empty(0))
+    # a row for each language of the table, of which only those with the most documents are learned
+    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
     # documents are taken by a hash of their id, so the sample is the same whatever the partitions are
-    draw = F.pmod(F.xxhash64(F.lit(11), F.col("doc_id")), F.lit(1_000_000)).cast("int")
-    share = F.lit(0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1_000_000, int(1_000_000 * train_docs / n) + 1))).otherwise(share)
-    sample = labelled.where(draw < share).withColumn("test", F.pmod(F.xxhash64(F.lit(12), F.col("doc_id")), F.lit(10)) == 0)
+    draw = F.pmod(F.xxhash64(F.lit(11), F.col("doc_id")), F.lit(1_000_000))
+    share = F.floor(F.lit(1_000_000 * train_docs) / F.col("n")) + 1
+    sample = labelled.join(sizes, "lang").where(draw < share).withColumn("test", F.pmod(F.xxhash64(F.lit(12), F.col("doc_id")), F.lit(10)) == 0)
 
     def count(batches):
         total: dict[str, Counter] = {}
@@ -297,4 +298,5 @@ def identify(docs: DataFrame, models: Models, text: str = "text", out: str = "la
 
 def keep_identified(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
     """``docs`` without those that no model of theirs accepts."""
-    return identify(docs, train(docs, train_docs), out="_language").where(~F.col("_language.rejected")).drop("_language")
+    name = unique_name(docs, "_language")
+    return identify(docs, train(docs, train_docs), out=name).where(~F.col(name).rejected).drop(name)
