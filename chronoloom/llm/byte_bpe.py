@@ -6,8 +6,10 @@ as one printable character; decoding reverses that table, so a token may hold
 part of a character: bytes are joined first and only then read as UTF-8.
 
 Defined cases: a null text encodes like an empty one, to no ids; null ids
-decode to no bytes; an id outside the vocabulary raises; further columns stay,
-one of an output's name is replaced.
+decode to no bytes; an id outside the vocabulary raises; texts of any length
+are encoded whole (long ones in parts, where a cut is exact); an empty table
+gives no rows; repeated rows are encoded each; further columns stay whatever
+their names, one of an output's name is replaced.
 """
 
 from __future__ import annotations

@@ -10,8 +10,10 @@ Texts are cut before a space mark that follows another character, which is
 exact as no piece of the model holds the mark behind another character (this
 is checked when the model is loaded; else texts are counted uncut).
 
-Defined cases: null counts as empty, to no tokens; further columns stay, one
-of an output's name is replaced.
+Defined cases: null counts as empty, to no tokens; of pairs with equal ranks
+the leftmost is merged first; texts of any length are counted whole (long ones
+in parts, where a cut is exact); an empty table gives no rows; further columns
+stay whatever their names, one of an output's name is replaced.
 """
 
 from __future__ import annotations

@@ -12,8 +12,10 @@ under one canonical code (see ``huffman``).  The result is a folder:
 ``read_tokens`` decodes blocks independently of one another.
 
 Defined cases: a null text is an empty one and still gets the end id; null
-doc_ids come first; rows of one doc_id follow one another in any order; an
-empty table gives no blocks; further columns are not stored.
+doc_ids come first; rows of one doc_id follow one another in any order; a
+document is never split, so a block of one long text is as long as that; an
+empty table gives no blocks; further columns, whatever their names, are not
+stored.
 """
 
 from __future__ import annotations

@@ -303,11 +303,16 @@ def _vectors(n=400, dim=12):
     return [(i, [float(x) for x in np.float32(v)]) for i, v in enumerate(rows)]
 
 
-def test_embedding_dedup(spark):
+def test_embedding_dedup(spark, monkeypatch):
     rows = _vectors() + [(900, None), (901, []), (902, [0.0] * 12), (903, [1.0, None] * 6), (904, [float("nan")] * 12), (905, [1.0, 0.0, 0.0]), (906, [2.0, 0.0, 0.0])]
     rows += [(910, rows[5][1]), (911, rows[5][1]), (912, [2 * x for x in rows[5][1]])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("n_links", F.lit("clash"))
     assert by_id(embedding_dedup.near_vectors(df)) == B.op7(rows)
+    monkeypatch.setattr(embedding_dedup, "CHUNK", 3)  # exact form, and cells that are split
+    exact = embedding_dedup.near_vectors(df, recall=1.0)
+    assert by_id(exact) == B.op7(rows)
+    assert embedding_dedup.measured_recall(df, exact) == 1.0
+    assert embedding_dedup.measured_recall(df, exact.withColumn("n_links", F.lit(0))) == 0.0
 
 
 def test_embedding_dedup_of_nothing(spark):
@@ -448,3 +453,105 @@ def test_substring_dedup_odd_rows(spark, empty):
     got = sorted((r.doc_id is None, r.doc_id or 0, r.n_removed) for r in substring_dedup.remove_repeats(df, 20).collect())
     assert got == [(False, 3, 0), (False, 3, 0), (False, 5, 25), (False, 6, 0), (True, 0, 25)]
     assert substring_dedup.remove_repeats(empty, 20).count() == 0
+
+
+# ---- names, ids and very long texts ----
+
+CLASH = ["_a", "_b", "_k", "_ka", "_kb", "_n", "_runs", "_row", "_id", "_bid", "_brow", "_lines", "_first", "_made", "_found", "_hits", "_language", "_gone", "_bucket", "key", "a", "b", "n", "e", "h", "g", "doc", "start", "parts", "part", "fp", "hits", "kept", "place", "window", "item"]
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    rows = [(i, t, "en") for i, t in enumerate(["one two three " * 12, "one two three " * 12, _passage, "x\ny", None, ""])]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string").select("*", *[F.lit(7).alias(c) for c in CLASH])
+
+
+@pytest.mark.parametrize("run", [
+    lambda d: line_dedup.apply_bitmaps(d, line_dedup.keep_bitmaps(d, min_docs=2)),
+    lambda d: substring_dedup.remove_repeats(d),
+    lambda d: decontaminate.find_hits(d, d.select(F.col("doc_id").alias("item_id"), "text").where("doc_id = 2"), out="found"),
+    lambda d: decontaminate.keep_clean(d, d.select(F.col("doc_id").alias("item_id"), "text").where("doc_id = 3")),
+    lambda d: language_id.keep_identified(d),
+    lambda d: simhash.keep_one(d),
+    lambda d: byte_bpe.decode(byte_bpe.encode(d, RANKS), RANKS),
+    lambda d: piece_count.count_tokens(d, PIECES),
+], ids="lines substrings hits clean language simhash bpe pieces".split())
+def test_columns_of_internal_names_stay(clashing, run):
+    made = run(clashing)
+    assert set(CLASH) <= set(made.columns)
+    assert all(r[c] == 7 for r in made.select(*CLASH).collect() for c in CLASH)
+
+
+def test_columns_of_internal_names_do_not_matter(spark, clashing, tmp_path):
+    plain = clashing.select("doc_id", "text")
+    rows = lambda df: sorted(map(str, df.collect()))
+    for run in (lambda d: sharding.assign(d, shards=3), lambda d: simhash.near_duplicates(d)):
+        assert rows(run(clashing)) == rows(run(plain))
+    token_output.write_tokens(clashing, JSON, str(tmp_path / "c"), end_id=2)
+    token_output.write_tokens(plain, JSON, str(tmp_path / "p"), end_id=2)
+    assert rows(token_output.read_tokens(spark, str(tmp_path / "c"))) == rows(token_output.read_tokens(spark, str(tmp_path / "p")))
+
+
+def test_periodic_and_very_long_texts(spark):
+    """One run of windows far beyond a group, a text of a million words, and a word of a megabyte."""
+    r = random.Random(8)
+    rows = [(0, "la " * 30_000), (1, "la " * 25_000), (2, " ".join(str(r.randint(0, 10**6)) for _ in range(300_000))), (3, "w" * 1_500_000 + " end")]
+    made = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 20)
+    got = {x.doc_id: (x.n_words, x.n_removed) for x in made.select("doc_id", "n_words", "n_removed").collect()}
+    assert got == {0: (30_000, 29_999), 1: (25_000, 25_000), 2: (300_000, 0), 3: (2, 0)}
+
+
+def test_line_sql_says_the_same_of_repeated_and_missing_ids(spark, tmp_path):
+    import duckdb
+
+    from chronoloom.llm import queries
+
+    rows = [(5, f"same\n{k}") for k in range(6)] + [(6, "same")] * 3 + [(None, "same\nx"), (None, "same\nx"), (None, "SAME "), (7, None), (8, "same\n\nq")]
+    more = [(5, f"other\n{k}") for k in range(5)] + [(9, "other")] * 9
+    df = spark.createDataFrame(rows + more, "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    made = queries.op6_line_dedup(spark, str(tmp_path))
+    said = con.sql(queries.OP6_SQL).fetchall()
+    assert sorted(map(str, (tuple(r) for r in made.collect()))) == sorted(map(str, said))
+    assert {r.n_dropped for r in made.collect()} == {0, 1}
+
+
+def test_hot_keys_are_split(spark, monkeypatch):
+    base = 0x0123456789ABCDEF
+    fps = sorted({base ^ (1 << i) ^ (1 << j) for i in range(24) for j in range(24)})
+    far = [x ^ 0x7FFF000000000000 for x in fps[:40]]
+    df = spark.createDataFrame([(f,) for f in fps + far], "fp long")
+    expected = {(r.fp, r.component) for r in simhash.groups(df).collect()}
+    monkeypatch.setattr(simhash, "PART", 7)
+    assert {(r.fp, r.component) for r in simhash.groups(df).collect()} == expected
+    assert {(r.fp, r.component) for r in simhash.groups(df, segments=4).collect()} == expected
+
+
+def test_suffix_trees():
+    """Common prefixes, deep nodes and maximal repeats against all pairs."""
+    r = random.Random(2)
+    for _ in range(60):
+        rows = [(g, d, 0, 100 * d, 0, b" ".join(r.choice([b"a", b"b", b"c"]) for _ in range(r.randint(3, 15)))) for g in range(2) for d in range(3)]
+        tree = substring_dedup.SuffixTrees(np.array([x[0] for x in rows]), [x[5] for x in rows])
+        words = [x[5].split() for x in rows]
+        suffix = lambda i: words[tree.segment[i]][tree.place[i] :]  # noqa: B023, E731
+        group = lambda i: rows[tree.segment[i]][0]  # noqa: B023, E731
+
+        def common(i, j):
+            n = 0
+            if group(i) == group(j):  # noqa: B023
+                for x, y in zip(suffix(i), suffix(j), strict=False):  # noqa: B023
+                    if x != y:
+                        break
+                    n += 1
+            return n
+
+        assert [common(i, j) for i, j in zip(tree.order[:-1], tree.order[1:], strict=True)] == tree.common.tolist()
+        pairs = {(i, j) for i in range(len(tree.order)) for j in range(i) if common(i, j) >= 3}
+        node, members, depth = tree.deep_nodes(3)
+        of = [sorted(members[node == k].tolist()) for k in range(len(depth))]
+        assert {(j, i) for m in of for x, i in enumerate(m) for j in m[x + 1 :]} == pairs
+        for n, m in tree.maximal_repeats(3):
+            assert min(common(i, j) for i in m for j in m if i < j) == n
