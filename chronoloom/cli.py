@@ -18,7 +18,7 @@ from .session import session
 
 @dataclass
 class Settings:
-    root: str = "chronoloom-state"
+    root: str = ""
     ontology: str = ""
     mode: str = "stream"
     guard_check: str = "false"
@@ -59,6 +59,8 @@ def main(argv: list[str] | None = None) -> None:
     if settings.ontology:
         with open(settings.ontology) as f:
             ontology = Ontology.from_json(f.read())
+    if not settings.root:
+        parser.error("--root: a folder that the driver and all executors share")
     engine = Engine(session(), settings.root, ontology, settings.options())
     if args["command"] == "ingest":
         made = engine.ingest(engine.spark.read.parquet(args["path"]))
@@ -69,7 +71,8 @@ def main(argv: list[str] | None = None) -> None:
         (outcome.conflict if kind == "conflict" else outcome.matches).show(truncate=False)
         print(kind)
     elif args["command"] == "conflicts":
-        engine.conflicts(args["start"], args["end"], args["attribute"]).show(1000, truncate=False)
+        for row in engine.conflicts(args["start"], args["end"], args["attribute"]).toLocalIterator():  # all of them, a partition at a time
+            print(json.dumps(row.asDict(recursive=True)))
     elif args["command"] == "export":
         engine.export(args["start"], args["end"]).write.parquet(args["path"])
     else:

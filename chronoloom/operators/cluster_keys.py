@@ -81,7 +81,7 @@ def cluster_keys(records: DataFrame, descriptors: DataFrame, assignments: DataFr
     """(cluster_id, cluster_key, identity_key): of each type the shortest run of tokens that one cluster has alone."""
     seeds = cluster_seeds(records, descriptors, assignments, ontology)
     widest = seeds.groupBy("entity_type").agg(F.max(F.size("tokens")).alias("width"))
-    padded = seeds.join(F.broadcast(widest), "entity_type").withColumn("tokens", F.concat("tokens", F.array_repeat(F.lit("UNK"), F.col("width") - F.size("tokens"))))
+    padded = seeds.join(widest, "entity_type").withColumn("tokens", F.concat("tokens", F.array_repeat(F.lit("UNK"), F.col("width") - F.size("tokens"))))
     prefixes = padded.select("entity_type", "cluster_id", F.explode(F.sequence(F.lit(1), F.col("width"))).alias("len"), "tokens")
     prefixes = prefixes.withColumn("prefix", F.array_join(F.slice("tokens", 1, F.col("len")), "-"))
     alone = prefixes.groupBy("entity_type", "len", "prefix").agg(F.count(F.lit(1)).alias("n"), F.min("cluster_id").alias("cluster_id")).where("n = 1")

@@ -177,13 +177,12 @@ def observations(records: DataFrame, descriptors: DataFrame, assignments: DataFr
     found = [direct, intra, indirect]
     violation = lambda df, who, cluster: df.select(text("indirect").alias("obs_type"), text("constraint_violation").alias("kind"), F.col("attr").alias("attribute"), "start_ts", "end_ts", who.alias("participants"), F.col("constraint").alias("cause"), text("violation").alias("status"), cluster.alias("cluster_id"))
     for c in ontology.constraints:
-        inside = descriptors
         if scoped and c.kind == ConstraintKind.UNIQUE_WITHIN_PERSPECTIVE:
-            for p in [r.perspective for r in records.select("perspective").distinct().collect()]:  # sources, a few
-                own = descriptors.join(records.where(F.col("perspective") == p).select("record_id"), "record_id", "left_semi")
-                found.append(violation(unique_in_cluster(own, here, c.attribute, c.name), F.col("participants"), F.col("cluster_id")))
+            # a cluster's records of each perspective by themselves
+            own = here.join(records.select("record_id", "perspective"), "record_id").select("record_id", F.struct("cluster_id", "perspective").alias("cluster_id"))
+            found.append(violation(unique_in_cluster(descriptors, own, c.attribute, c.name), F.col("participants"), F.col("cluster_id")["cluster_id"]))
         else:
-            found.append(violation(unique_in_cluster(inside, here, c.attribute, c.name), F.col("participants"), F.col("cluster_id")))
+            found.append(violation(unique_in_cluster(descriptors, here, c.attribute, c.name), F.col("participants"), F.col("cluster_id")))
         if target is None and c.kind == ConstraintKind.UNIQUE:
             across = unique_across_clusters(records, descriptors, assignments, c.attribute, c.name)
             found.append(violation(across, F.array("record_a", "record_b"), F.lit(None).cast("long")))
@@ -193,11 +192,23 @@ def observations(records: DataFrame, descriptors: DataFrame, assignments: DataFr
 def summarize(observed: DataFrame, records: DataFrame) -> DataFrame:
     """Observations with records as sorted (perspective, uid), equal rows once."""
     names = records.select("record_id", F.struct("perspective", "uid").alias("ref"))
-    rows = observed.withColumn("_o", F.xxhash64(*[F.col(c).cast("string") for c in observed.columns]))
+    key = ["kind", "attribute", "start_ts", "end_ts", "cause", "participants"]  # whole columns: a hash could join two
+    rows = observed.select(*key).distinct()
     met = rows.withColumn("record_id", F.explode("participants")).join(names, "record_id")
-    key = ["_o", "kind", "attribute", "start_ts", "end_ts", "cause"]
     listed = met.groupBy(*key).agg(F.array_sort(F.collect_set("ref")).alias("records"))
-    return listed.drop("_o").distinct()
+    return listed.drop("participants").distinct()
+
+
+def evidence(observed: DataFrame) -> DataFrame:
+    """``observed`` with ``evidence``, a sentence on each observation."""
+    who = F.array_join(F.transform("participants", lambda p: p.cast("string")), ", ")
+    when = F.concat(F.lit(" in ["), F.col("start_ts").cast("string"), F.lit(", "), F.col("end_ts").cast("string"), F.lit(")"))
+    text = (
+        F.when(F.col("kind") == "direct", F.concat(F.lit("different values of "), F.col("attribute"), F.lit(" at one time")))
+        .when(F.col("kind") == "constraint_violation", F.concat(F.lit("constraint "), F.col("cause"), F.lit(" on "), F.col("attribute"), F.lit(" is violated")))
+        .otherwise(F.concat(F.lit("records of one key were kept apart ("), F.coalesce("cause", F.lit("")), F.lit(")")))
+    )
+    return observed.withColumn("evidence", F.concat(text, when, F.lit(" by records "), who))
 
 
 def list_conflicts(summaries: DataFrame, start: int = 0, end: int = 0, attribute: str = "") -> DataFrame:

@@ -35,12 +35,12 @@ def resolve_records(records: DataFrame, crosswalks: DataFrame) -> DataFrame:
 def perspective_order(records: DataFrame, ontology: Ontology) -> DataFrame:
     """(perspective, weight, precedence): heavier perspectives come first; unknown ones weigh nothing."""
     weights = ontology.weights_frame(records.sparkSession)
-    known = records.select("perspective").distinct().join(F.broadcast(weights), "perspective", "left").select("perspective", F.coalesce("weight", F.lit(0)).alias("weight"))
+    known = records.select("perspective").distinct().join(weights, "perspective", "left").select("perspective", F.coalesce("weight", F.lit(0)).alias("weight"))
     return known.withColumn("precedence", F.row_number().over(Window.orderBy(F.desc("weight"), "perspective")).cast("long"))  # a row for each source
 
 
 def authoritative_perspectives(permanent: DataFrame, weights: DataFrame) -> DataFrame:
     """(attr, perspective): of the perspectives that own an attribute the heaviest, if it weighs anything."""
-    owned = permanent.join(F.broadcast(weights), "perspective").where("weight > 0")
+    owned = permanent.join(weights, "perspective").where("weight > 0")
     best = Window.partitionBy("attr").orderBy(F.desc("weight"), "perspective")
     return owned.withColumn("_n", F.row_number().over(best)).where("_n = 1").select("attr", "perspective")

@@ -22,10 +22,16 @@ class KnowledgeGraph:
     nodes: DataFrame
     same_as: DataFrame
     conflicts_with: DataFrame
+    #: (nodes, same_as): their numbers as sums over clusters, for which neither is made.
+    sizes: DataFrame | None = None
 
     def counts(self) -> DataFrame:
-        nodes, same, conflicts = [f.agg(F.lit(name).alias("part"), F.count(F.lit(1)).alias("n")) for name, f in (("nodes", self.nodes), ("same_as", self.same_as), ("conflicts_with", self.conflicts_with))]
-        return nodes.union(same).union(conflicts)
+        count = lambda name, f: f.agg(F.lit(name).alias("part"), F.count(F.lit(1)).alias("n"))
+        conflicts = count("conflicts_with", self.conflicts_with)
+        if self.sizes is None:
+            return count("nodes", self.nodes).union(count("same_as", self.same_as)).union(conflicts)
+        both = self.sizes.select(F.explode(F.create_map(F.lit("nodes"), "nodes", F.lit("same_as"), "same_as")).alias("part", "n"))
+        return both.union(conflicts)
 
     def metadata(self, version: str = "1.0") -> DataFrame:
         return self.counts().select(F.concat("part", F.lit("_count")).alias("name"), F.col("n").cast("string").alias("value")).union(local_frame(self.nodes.sparkSession, [("version", version)], "name string, value string"))
@@ -80,7 +86,10 @@ def conflict_edges(direct: DataFrame, indirect: DataFrame | None = None) -> Data
 def export_graph(records: DataFrame, descriptors: DataFrame, assignments: DataFrame, ontology: Ontology, observed: DataFrame | None = None, star: bool = False) -> KnowledgeGraph:
     nodes = record_nodes(records).unionByName(cluster_nodes(records, descriptors, assignments, ontology))
     indirect = observed.where("obs_type = 'indirect'").select("participants", "attribute", "start_ts", "end_ts", "cause") if observed is not None else None
-    return KnowledgeGraph(nodes, same_as_edges(assignments, star), conflict_edges(direct_conflicts(descriptors, assignments), indirect))
+    clusters = assignments.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("k"))
+    pairs = F.col("k") - 1 if star else F.col("k") * (F.col("k") - 1) / 2
+    sizes = clusters.agg((F.coalesce(F.sum("k"), F.lit(0)) + F.count(F.lit(1))).cast("long").alias("nodes"), F.coalesce(F.sum(pairs), F.lit(0)).cast("long").alias("same_as"))
+    return KnowledgeGraph(nodes, same_as_edges(assignments, star), conflict_edges(direct_conflicts(descriptors, assignments), indirect), sizes)
 
 
 @dataclass
@@ -93,23 +102,22 @@ class GraphDiff:
 
 
 def diff(before: DataFrame, after: DataFrame, keys: list[str]) -> GraphDiff:
-    hashed = lambda df: df.withColumn("_h", F.xxhash64(*[F.col(c).cast("string") for c in df.columns]))
-    b, a = hashed(before).dropDuplicates([*keys, "_h"]), hashed(after).dropDuplicates([*keys, "_h"])
-    on = [*keys, "_h"]
-    null_safe = lambda x, y: [x[c].eqNullSafe(y[c]) for c in on]
+    """Rows are told apart by all their columns, maps by their sorted entries."""
+    told = lambda df: F.struct(*[F.array_sort(F.map_entries(c)) if t.startswith("map<") else F.col(c) for c, t in df.dtypes])
+    named = lambda df: df.withColumn("_row", F.to_json(told(df), {"ignoreNullFields": "false"})).dropDuplicates([*keys, "_row"])
+    b, a = named(before), named(after)
 
     def match(x, y, how):
-        conditions = null_safe(x, y)
-        joined = conditions[0]
-        for c in conditions[1:]:
-            joined = joined & c
-        return x.join(y, joined, how).drop("_h")
+        condition = x["_row"] == y["_row"]
+        for c in keys:
+            condition = condition & x[c].eqNullSafe(y[c])
+        return x.join(y, condition, how).drop("_row")
 
     return GraphDiff(match(a, b, "left_anti"), match(b, a, "left_anti"), match(a, b, "left_semi"))
 
 
 def to_dot(records: DataFrame, assignments: DataFrame, direct: DataFrame, limit: int = 1000) -> str:
-    """A drawing in DOT, for graphs of at most ``limit`` records; larger ones raise."""
+    """A drawing in DOT, for graphs of at most ``limit`` records and as many edges; larger ones raise."""
     rows = assignments.join(records, "record_id").orderBy("cluster_id", "record_id").limit(limit + 1).collect()
     if len(rows) > limit:
         raise ValueError(f"more than {limit} records; export the edge tables instead")
@@ -124,7 +132,10 @@ def to_dot(records: DataFrame, assignments: DataFrame, direct: DataFrame, limit:
     if last is not None:
         out.append("  }")
     edges = conflict_edges(direct).select("source", "target", "attribute").distinct().orderBy("source", "target", "attribute")
-    out += [f'  R{e.source} -- R{e.target} [style=dashed, label="{e.attribute}"];' for e in edges.limit(limit).collect()]
+    drawn = edges.limit(limit + 1).collect()
+    if len(drawn) > limit:
+        raise ValueError(f"more than {limit} conflicts; export the edge tables instead")
+    out += [f'  R{e.source} -- R{e.target} [style=dashed, label="{e.attribute}"];' for e in drawn]
     return "\n".join([*out, "}"]) + "\n"
 
 

@@ -11,16 +11,15 @@ from ..plans.ontology import ConstraintKind, IdentityKey, Ontology
 from ..sources.shared import local_frame
 from .intervals import coalesce_intervals
 
-#: Intervals of one attribute that take part in a record's keys; the longest stay.
-KEY_INTERVALS = 8
 
-
-def value_intervals(descriptors: DataFrame, attrs: list[str]) -> DataFrame:
-    """Each value's coalesced intervals within its record, at most ``KEY_INTERVALS`` of an attribute."""
+def value_intervals(descriptors: DataFrame, attrs: list[str], limit: int | None = None) -> DataFrame:
+    """Each value's coalesced intervals within its record, at most ``limit`` of an attribute, the longest."""
     merged = coalesce_intervals(descriptors.where(F.col("attr").isin(attrs)).select("record_id", "attr", "value", "start_ts", "end_ts"), ["record_id", "attr", "value"])
+    if limit is None:
+        return merged
     length = F.try_subtract(F.col("end_ts"), F.col("start_ts"))  # NULL: beyond 64 bits, the longest
     best = Window.partitionBy("record_id", "attr").orderBy(length.desc_nulls_first(), "start_ts", "value")
-    return merged.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= KEY_INTERVALS).drop("_n")
+    return merged.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= limit).drop("_n")
 
 
 def key_rows_of(records: DataFrame, values: DataFrame, key: IdentityKey) -> DataFrame:
@@ -42,7 +41,7 @@ def key_rows_of(records: DataFrame, values: DataFrame, key: IdentityKey) -> Data
 def key_rows(records: DataFrame, descriptors: DataFrame, ontology: Ontology) -> DataFrame:
     """All keys' rows; a record without one of a key's attributes has none for it."""
     attrs = sorted({a for k in ontology.identity_keys for a in k.attributes})
-    values = value_intervals(descriptors, attrs)
+    values = value_intervals(descriptors, attrs, ontology.key_intervals)
     rows = [key_rows_of(records, values, k).withColumn("key_order", F.lit(i)) for i, k in enumerate(ontology.identity_keys)]
     if not rows:
         spark = records.sparkSession
@@ -70,6 +69,19 @@ def candidate_pairs(rows: DataFrame) -> DataFrame:
     return a.join(b, on).select(F.col("a.record_id").alias("record_a"), F.col("b.record_id").alias("record_b"), F.col("a.k").alias("k"), start.alias("start_ts"), end.alias("end_ts"))
 
 
+def route_by_time(records: DataFrame, descriptors: DataFrame, ontology: Ontology, shards: int) -> DataFrame:
+    """(record_id, shard): by the record's longest key row (of equals the first key, then the earliest start); records
+    without a key by their identity."""
+    rows = key_rows(records, descriptors, ontology)
+    length = F.try_subtract(F.col("end_ts"), F.col("start_ts"))
+    text = key_text(F.col("entity_type"), F.col("key_values"))
+    order = F.struct(length.isNotNull().alias("bounded"), (-F.coalesce(length, F.lit(0))).alias("length"), "key_order", "start_ts", text.alias("k"))
+    longest = rows.groupBy("record_id").agg(F.min(order).alias("o")).select("record_id", F.concat(F.lit("k\u0002"), F.col("o.k")).alias("_k"))
+    placed = records.join(longest, "record_id", "left")
+    name = F.coalesce("_k", F.concat_ws("\u0002", F.lit("i"), "entity_type", "perspective", "uid"))
+    return placed.select("record_id", F.pmod(F.xxhash64(name), F.lit(shards)).cast("int").alias("shard"))
+
+
 def route(records: DataFrame, descriptors: DataFrame, ontology: Ontology, shards: int) -> DataFrame:
     """(record_id, shard): by the first complete key, else the first constraint's attribute, else the identity.
 

@@ -3,13 +3,15 @@
 ``islands``     one key, no strong identifier, a record in one island: windows only.
 ``components``  several keys, no strong identifier: overlap components.
 ``greedy``      strong identifiers: links are made in record order and may be
-                vetoed, so each component is replayed in one task (pandas); a
-                component is all that can influence each other, and components
-                without strong values never reach Python.
+                vetoed, so components with two values of a strong attribute in
+                one perspective are replayed (pandas), each in one task; a
+                component is all that can influence each other, and the others
+                never reach Python.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right, insort
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 from itertools import groupby
@@ -24,6 +26,7 @@ from ..sources.shared import materialise
 from .components import connected_components, label
 from .intervals import coalesce_intervals, with_islands
 from .keys import key_rows, key_text
+from ..sources.records import numbered
 
 
 def key_islands(rows: DataFrame) -> DataFrame:
@@ -117,6 +120,53 @@ class _Cluster:
         return False
 
 
+class IntervalIndex:
+    """Intervals of one key, found by overlap without a scan of all.
+
+    Intervals lie in classes of similar length (by powers of two), each in order of start: those of a class that reach
+    into a query start at most the class's greatest length before it, so two bisections bound them.  A class is a list
+    of short blocks, so that adding to a long one moves little.
+    """
+
+    BLOCK = 512
+
+    def __init__(self):
+        self.classes: dict[int, list[list[tuple]]] = {}
+        self.size = 0
+
+    def add(self, record: int, start: int, end: int) -> None:
+        blocks = self.classes.setdefault((end - start).bit_length(), [[]])
+        entry = (start, self.size, end, record)
+        self.size += 1
+        at = max(0, bisect_right(blocks, entry, key=itemgetter(0)) - 1) if len(blocks) > 1 else 0
+        block = blocks[at]
+        insort(block, entry)
+        if len(block) > self.BLOCK:
+            half = len(block) // 2
+            blocks[at : at + 1] = [block[:half], block[half:]]
+
+    def overlapping(self, start: int, end: int) -> list[tuple[int, int, int]]:
+        """(record, start, end) of the intervals that overlap [start, end), in the order in which they were added."""
+        found = []
+        for length, blocks in self.classes.items():
+            low = start - (1 << length)
+            at = max(0, bisect_right(blocks, (low,), key=itemgetter(0)) - 1) if len(blocks) > 1 else 0
+            while at < len(blocks) and blocks[at] and blocks[at][0][0] < end:
+                block = blocks[at]
+                for entry in block[bisect_right(block, (low,)) : bisect_right(block, (end,))]:
+                    if entry[2] > start and entry[0] < end:
+                        found.append((entry[1], entry[3], entry[0], entry[2]))
+                at += 1
+        found.sort()
+        return [f[1:] for f in found]
+
+    def __iter__(self):
+        for blocks in self.classes.values():
+            for block in blocks:
+                for start, _, end, record in block:
+                    yield record, start, end
+
+
 class Replay:
     """Links records one after another; kept apart from Spark so that it can be tested alone."""
 
@@ -127,7 +177,7 @@ class Replay:
         self.perspective: dict[int, str] = {}
         self.cluster: dict[int, _Cluster] = {}
         self.guards: dict[int, list[tuple[int, int, str]]] = {}
-        self.index: dict[str, list[tuple[int, int, int]]] = {}
+        self.index: dict[str, IntervalIndex] = {}
         self.closed: set[str] = set()
         self.pending: dict[str, list[tuple[int, int, int]]] = {}
         self.log: list[tuple[int, int, str, str, int, int]] = []  # record, candidate, key, outcome, start, end
@@ -169,9 +219,9 @@ class Replay:
                     self.pending[text].append((start, end, record))
                 continue
             found: dict[int, tuple[int, int]] = {}
-            for other, s, e in self.index.get(text, ()):
-                if s < end and start < e:
-                    found.setdefault(self.find(other), (max(s, start), min(e, end)))
+            known = self.index.get(text)
+            for other, s, e in known.overlapping(start, end) if known else ():
+                found.setdefault(self.find(other), (max(s, start), min(e, end)))
             cap = self.options.hot_key_cap
             if cap is not None and len(found) > cap:
                 self.closed.add(text)
@@ -195,7 +245,7 @@ class Replay:
                 else:
                     self.log.append((record, root, name, "guarded", *span))
         for _, text, start, end in keys:
-            self.index.setdefault(text, []).append((record, start, end))
+            self.index.setdefault(text, IntervalIndex()).add(record, start, end)
 
     def link_deferred(self) -> None:
         """Sweeps over the records of keys that were closed for their size; only those of one perspective are merged,
@@ -237,23 +287,48 @@ def _replay(rows: pd.DataFrame, strong: pd.DataFrame, options: LinkOptions) -> R
     return run
 
 
+def _components(keyed: DataFrame, edges: DataFrame) -> DataFrame:
+    """(record_id, component) of the records of ``keyed``; a record with one lead (b) needs no rounds."""
+    leads = edges.groupBy("a").agg(F.min("b").alias("low"), F.max("b").alias("high"))
+    leads = materialise(leads)
+    if leads.where("low <> high").isEmpty():
+        return leads.select(F.col("a").alias("record_id"), F.col("low").alias("component"))
+    return label(keyed.select("record_id").distinct(), connected_components(edges)).withColumnRenamed("cluster_id", "component")
+
+
+def _overlap_edges(keyed: DataFrame) -> DataFrame:
+    lead = with_islands(keyed, ["k"], touching=False).withColumn("b", F.min("record_id").over(Window.partitionBy("k", "island")))
+    return lead.select(F.col("record_id").alias("a"), "b")
+
+
 def _greedy_input(records: DataFrame, descriptors: DataFrame, ontology: Ontology, options: LinkOptions):
+    """Key rows and strong values of components with a decision to take, and the other key rows.
+
+    There is one only where a component has two values of a strong attribute in
+    one perspective; else every overlap is a merge, in whatever order.
+    """
     rows = key_rows(records, descriptors, ontology).join(records.select("record_id", "perspective"), "record_id")
     keyed = materialise(rows.select("record_id", "perspective", "key_name", "key_order", key_text(F.col("entity_type"), F.col("key_values")).alias("k"), "start_ts", "end_ts"))
+    islands = _overlap_edges(keyed)
     if options.mode == "batch":  # decisions depend on records that overlap only
-        lead = with_islands(keyed, ["k"], touching=False).withColumn("b", F.min("record_id").over(Window.partitionBy("k", "island")))
-        edges = lead.select(F.col("record_id").alias("a"), "b")
+        edges = islands
     else:  # a closed key is closed for all times
         first = keyed.groupBy("k").agg(F.min("record_id").alias("b"))
         edges = keyed.join(first, "k").select(F.col("record_id").alias("a"), "b")
-    placed = label(keyed.select("record_id").distinct(), connected_components(edges)).withColumnRenamed("cluster_id", "component")
-    # a record that shares no key with another has nothing to decide
-    shared = keyed.join(placed, "record_id")
-    several = shared.groupBy("component").agg(F.min("record_id").alias("x"), F.max("record_id").alias("y")).where("x <> y").select("component")
-    keyed = materialise(shared.join(several, "component", "left_semi"))
+    placed = materialise(_components(keyed, edges))
     strong = materialise(strong_summary(records, descriptors, ontology.strong_attributes or [""]).join(placed, "record_id"))
+    if options.guard_check or options.hot_key_cap is not None:  # these look at order everywhere
+        contested = placed.groupBy("component").agg(F.min("record_id").alias("x"), F.max("record_id").alias("y")).where("x <> y").select("component")
+    else:
+        several = strong.groupBy("component", "perspective", "attr").agg(F.min("value").alias("x"), F.max("value").alias("y"))
+        contested = several.where("x <> y").select("component").distinct()
+    contested = materialise(contested)
+    with_component = keyed.join(placed, "record_id")
+    replayed = materialise(with_component.join(contested, "component", "left_semi"))
+    free = keyed.join(placed.join(contested, "component", "left_anti").select("record_id"), "record_id", "left_semi")
+    strong = strong.join(contested, "component", "left_semi")
     # columns of their own on both sides, so that a cogroup can tell them apart
-    return keyed, strong.select(*[F.col(c).alias(c) for c in strong.columns])
+    return replayed, strong.select(*[F.col(c).alias(c) for c in strong.columns]), free
 
 
 def _replayed(keyed: DataFrame, strong: DataFrame, run, schema: str) -> DataFrame:
@@ -267,14 +342,7 @@ def _replayed(keyed: DataFrame, strong: DataFrame, run, schema: str) -> DataFram
 def link_greedy(records: DataFrame, descriptors: DataFrame, ontology: Ontology, options: LinkOptions | None = None) -> DataFrame:
     """Clusters made in record order under the veto of strong identifiers."""
     options = options or LinkOptions()
-    keyed, strong = _greedy_input(records, descriptors, ontology, options)
-    # without a strong value nothing can be vetoed, and without guards and caps order doesn't matter
-    if options.guard_check or options.hot_key_cap is not None:
-        replayed, free = keyed, None
-    else:
-        tested = strong.select("component").distinct()
-        replayed = keyed.join(tested, "component", "left_semi")
-        free = keyed.join(tested, "component", "left_anti")
+    replayed, strong, free = _greedy_input(records, descriptors, ontology, options)
 
     def run(key, rows: pd.DataFrame, values: pd.DataFrame) -> pd.DataFrame:
         if rows.empty:
@@ -283,49 +351,71 @@ def link_greedy(records: DataFrame, descriptors: DataFrame, ontology: Ontology,
         return pd.DataFrame({"record_id": list(made), "cluster_id": list(made.values())}, dtype="int64")
 
     made = _replayed(replayed, strong, run, "record_id long, cluster_id long")
-    if free is not None:
-        lead = with_islands(free, ["k"], touching=False).withColumn("b", F.min("record_id").over(Window.partitionBy("k", "island")))
-        edges = lead.select(F.col("record_id").alias("a"), "b")
-        made = made.unionByName(label(free.select("record_id").distinct(), connected_components(edges)))
+    free = materialise(free)
+    made = made.unionByName(_components(free, _overlap_edges(free)).withColumnRenamed("component", "cluster_id"))
     linked = made.select("record_id", F.col("cluster_id").alias("_c"))
     return records.select("record_id").join(linked, "record_id", "left").select("record_id", F.coalesce("_c", "record_id").alias("cluster_id"))
 
 
+_LOG = "record_id long, candidate long, key_name string, outcome string, start_ts long, end_ts long"
+
+
 def merge_log(records: DataFrame, descriptors: DataFrame, ontology: Ontology, options: LinkOptions | None = None) -> DataFrame:
-    """What greedy linking decided: (record_id, candidate, key_name, outcome, start_ts, end_ts)."""
+    """What greedy linking decided: (record_id, candidate, key_name, outcome, start_ts, end_ts).
+
+    Components without a decision to take are replayed as well: which records a merge names depends on their order.
+    """
     options = options or LinkOptions()
-    keyed, strong = _greedy_input(records, descriptors, ontology, options)
+    replayed, strong, free = _greedy_input(records, descriptors, ontology, options)
+    free = free.join(_components(free, _overlap_edges(free)), "record_id").select(*replayed.columns)
 
     def run(key, rows: pd.DataFrame, values: pd.DataFrame) -> pd.DataFrame:
         log = _replay(rows, values, options).log if not rows.empty else []
-        return pd.DataFrame(log, columns=["record_id", "candidate", "key_name", "outcome", "start_ts", "end_ts"])
+        return pd.DataFrame(log, columns=[c.split()[0] for c in _LOG.split(", ")])
+
+    return _replayed(replayed, strong, run, _LOG).unionByName(_replayed(materialise(free), strong.where("false"), run, _LOG))
+
+
+def merge_counts(records: DataFrame, descriptors: DataFrame, ontology: Ontology, options: LinkOptions | None = None) -> DataFrame:
+    """(outcome, key_name, n) of the decisions that were refused: only components with one are replayed."""
+    options = options or LinkOptions()
+    replayed, strong, _ = _greedy_input(records, descriptors, ontology, options)
+
+    def run(key, rows: pd.DataFrame, values: pd.DataFrame) -> pd.DataFrame:
+        log = _replay(rows, values, options).log if not rows.empty else []
+        return pd.DataFrame([(x[3], x[2]) for x in log if x[3] != "merged"], columns=["outcome", "key_name"])
+
+    return _replayed(replayed, strong, run, "outcome string, key_name string").groupBy("outcome", "key_name").agg(F.count(F.lit(1)).alias("n"))
+
 
-    schema = "record_id long, candidate long, key_name string, outcome string, start_ts long, end_ts long"
-    return _replayed(keyed, strong, run, schema)
+def decides_in_order(ontology: Ontology, options: LinkOptions) -> bool:
+    """Whether a merge can be refused, so that the order of records matters."""
+    return bool(ontology.strong_identifiers) or options.guard_check or options.hot_key_cap is not None
 
 
 def resolve(records: DataFrame, descriptors: DataFrame, ontology: Ontology, options: LinkOptions | None = None) -> DataFrame:
     """Assignments by the cheapest form that gives what greedy linking would."""
     options = options or LinkOptions()
-    if ontology.strong_identifiers or options.guard_check or options.hot_key_cap is not None:
+    if decides_in_order(ontology, options):
         return link_greedy(records, descriptors, ontology, options)
     return link_components(records, key_rows(records, descriptors, ontology))
 
 
 def linker_metrics(records: DataFrame, assignments: DataFrame, log: DataFrame | None = None) -> DataFrame:
-    """Counters of a linking: records, clusters, merges and, with a log, refused merges."""
+    """Counters of a linking: records, clusters, merges and, with a log or the counts of one, refused merges."""
     base = assignments.agg(F.count(F.lit(1)).alias("records"), F.countDistinct("cluster_id").alias("clusters"))
     base = base.withColumn("merges", F.col("records") - F.col("clusters"))
     if log is None:
         return base
-    refused = log.agg(F.count_if(F.col("outcome") != "merged").alias("refused"), F.countDistinct(F.when(F.col("outcome") == "closed", F.col("key_name"))).alias("closed_keys"))
+    each = F.col("n") if "n" in log.columns else F.lit(1)
+    refused = log.agg(F.coalesce(F.sum(F.when(F.col("outcome") != "merged", each)), F.lit(0)).cast("long").alias("refused"), F.countDistinct(F.when(F.col("outcome") == "closed", F.col("key_name"))).alias("closed_keys"))
     return base.crossJoin(refused)  # one row each
 
 
 def dense_cluster_numbers(assignments: DataFrame) -> DataFrame:
-    """cluster_id -> number from 0 in order of ids, for callers that want small numbers."""
+    """cluster_id -> number from 0 in order of ids, for callers that want small numbers: ranges, counts, then ranks inside."""
     ids = assignments.select("cluster_id").distinct()
-    return ids.select("cluster_id", (F.dense_rank().over(Window.orderBy("cluster_id")) - 1).cast("long").alias("number"))
+    return numbered(ids, ["cluster_id"], "number").select("cluster_id", "number")
 
 
 def first_strong_clash(records: DataFrame, descriptors: DataFrame, ontology: Ontology, pairs: DataFrame) -> DataFrame:
@@ -335,7 +425,7 @@ def first_strong_clash(records: DataFrame, descriptors: DataFrame, ontology: Ont
     strong = descriptors.where(F.col("attr").isin(ontology.strong_attributes))
     first = strong.groupBy("record_id", "attr").agg(F.min_by(F.struct("value", "start_ts", "end_ts"), position).alias("d"))
     weights = ontology.weights_frame(records.sparkSession)
-    who = records.select("record_id", "perspective").join(F.broadcast(weights), "perspective", "left").withColumn("weight", F.coalesce("weight", F.lit(0)))
+    who = records.select("record_id", "perspective").join(weights, "perspective", "left").withColumn("weight", F.coalesce("weight", F.lit(0)))
     side = first.join(who, "record_id")
     x, y = side.alias("x"), side.alias("y")
     met = pairs.alias("p").join(x, F.col("p.a") == F.col("x.record_id")).join(y, (F.col("p.b") == F.col("y.record_id")) & (F.col("x.attr") == F.col("y.attr")))

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import interval as iv
-from ..sources.shared import local_frame
-from .intervals import coalesce_intervals, segments
+from ..sources.records import numbered
+from ..sources.shared import local_frame, materialise
+from .intervals import bucketed_overlap_join, coalesce_intervals, segments
+
+#: Stretches of time that matches are dealt to when all are compared.
+BUCKETS = 1024
 
 
 @dataclass
@@ -52,12 +56,16 @@ def overlap_conflict(matches: DataFrame, all_overlaps: bool = False) -> DataFram
     is returned; with ``all_overlaps`` every pair.
     """
     if all_overlaps:
-        a, b = matches.alias("a"), matches.alias("b")
-        on = (F.col("a.cluster_id") < F.col("b.cluster_id")) & (F.col("a.start_ts") < F.col("b.end_ts")) & (F.col("b.start_ts") < F.col("a.end_ts"))
-        return a.join(b, on).select(F.col("a.cluster_id").alias("cluster_a"), F.col("b.cluster_id").alias("cluster_b"), F.greatest("a.start_ts", "b.start_ts").alias("start_ts"), F.least("a.end_ts", "b.end_ts").alias("end_ts"))
-    # matches of one query, in order of time
-    order = Window.orderBy("start_ts", "end_ts", "cluster_id")
-    before = matches.select("*", *[F.lag(c).over(order).alias("_" + c) for c in ("cluster_id", "start_ts", "end_ts")])
+        now = materialise(matches)
+        low, high, length = now.agg(F.min("start_ts"), F.max("end_ts"), F.avg(F.col("end_ts") - F.col("start_ts"))).first()
+        width = max(1, ((high or 1) - (low or 0)) // BUCKETS, int(length or 1))  # few stretches for each match
+        side = now.select("cluster_id", "start_ts", "end_ts")
+        met = bucketed_overlap_join(side, side, width, low or 0, high or 1).where("cluster_id < cluster_id_r")
+        return met.select(F.col("cluster_id").alias("cluster_a"), F.col("cluster_id_r").alias("cluster_b"), F.greatest("start_ts", "start_ts_r").alias("start_ts"), F.least("end_ts", "end_ts_r").alias("end_ts"))
+    # matches of one query, in order of time: each meets the one before it
+    placed = materialise(numbered(matches.select("cluster_id", "start_ts", "end_ts"), ["start_ts", "end_ts", "cluster_id"], "n"))
+    earlier = placed.select((F.col("n") + 1).alias("n"), *[F.col(c).alias("_" + c) for c in ("cluster_id", "start_ts", "end_ts")])
+    before = placed.join(earlier, "n")
     hit = before.where((F.col("_cluster_id") != F.col("cluster_id")) & (F.col("_start_ts") < F.col("end_ts")) & (F.col("start_ts") < F.col("_end_ts")))
     pair = hit.select(F.col("_cluster_id").alias("cluster_a"), F.col("cluster_id").alias("cluster_b"), F.greatest("_start_ts", "start_ts").alias("start_ts"), F.least("_end_ts", "end_ts").alias("end_ts"))
     return pair.orderBy("start_ts", "end_ts", "cluster_a", "cluster_b").limit(1)

@@ -65,6 +65,8 @@ class Ontology:
     entity_types: dict[str, EntityType] = field(default_factory=dict)
     perspective_weights: dict[str, int] = field(default_factory=dict)
     permanent_attributes: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    #: Intervals of one attribute that take part in a record's keys, the longest first; None: all of them.
+    key_intervals: int | None = 8
 
     def add_identity_key(self, name: str, *attributes: str) -> Ontology:
         self.identity_keys.append(IdentityKey(name, attributes))
@@ -141,12 +143,13 @@ class Ontology:
     def to_dict(self) -> dict:
         return {
             "identity_keys": [{"name": k.name, "attributes": list(k.attributes)} for k in self.identity_keys],
-            "strong_identifiers": [s.attribute for s in self.strong_identifiers],
+            "strong_identifiers": [{"attribute": s.attribute, "name": s.name} for s in self.strong_identifiers],
             "constraints": [{"name": c.name, "attribute": c.attribute, "kind": c.kind.value} for c in self.constraints],
             "crosswalks": [vars(c) for c in self.crosswalks],
             "entity_types": [{"name": t.name, "attributes": list(t.attributes), "key_attributes": list(t.key_attributes), "requires_strong_identifier": t.requires_strong_identifier} for t in self.entity_types.values()],
             "perspective_weights": self.perspective_weights,
             "permanent_attributes": {p: list(a) for p, a in self.permanent_attributes.items()},
+            "key_intervals": self.key_intervals,
         }
 
     def to_json(self) -> str:
@@ -157,11 +160,12 @@ class Ontology:
         out = cls(
             perspective_weights=dict(d.get("perspective_weights", {})),
             permanent_attributes={p: tuple(a) for p, a in d.get("permanent_attributes", {}).items()},
+            key_intervals=d.get("key_intervals", 8),
         )
         for k in d.get("identity_keys", []):
             out.add_identity_key(k["name"], *k["attributes"])
         for s in d.get("strong_identifiers", []):
-            out.add_strong_identifier(s)
+            out.add_strong_identifier(**(s if isinstance(s, dict) else {"attribute": s}))
         for c in d.get("constraints", []):
             out.add_constraint(c["name"], c["attribute"], c.get("kind", "UNIQUE"))
         for c in d.get("crosswalks", []):

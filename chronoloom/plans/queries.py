@@ -23,6 +23,7 @@ from ..operators import reconcile as rc
 from ..sources import records as src
 from ..sources.shared import local_frame, shared_dir
 from . import views as vw
+from .ontology import ConstraintKind, Ontology
 from .views import DAY, sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -291,6 +292,19 @@ def export_nested(spark, sf_dir):
     return back.select("index", tk.display_identity(i["entity_type"], i["perspective"], i["uid"]).alias("identity"), F.array_join(F.transform("descriptors", one), ",").alias("descriptors"))
 
 
+@register("""
+pg AS (SELECT record_id FROM r_ord WHERE record_id >= 100 ORDER BY record_id LIMIT 50), c AS (SELECT count(*) > 50 AS more FROM r_ord WHERE record_id >= 100)
+SELECT record_id, more AS has_more, CASE WHEN more THEN (SELECT max(record_id) + 1 FROM pg) ELSE 0 END AS next_id FROM pg, c""")
+def export_page(spark, sf_dir):
+    page, more, after = src.export_page(vw.orders(spark, sf_dir)[0], 100, 0, 50)
+    return page.select("record_id", F.lit(more).alias("has_more"), F.lit(after).cast("long").alias("next_id"))
+
+
+@register("SELECT record_id, perspective, uid FROM r_ord WHERE record_id IN (1, 2, 3, 5, 8, 13, 21, 34, 55, 89)")
+def records_by_id(spark, sf_dir):
+    return src.by_ids(vw.orders(spark, sf_dir)[0], [1, 2, 3, 5, 8, 13, 21, 34, 55, 89]).select("record_id", "perspective", "uid")
+
+
 # ---- keys and linking ----
 
 
@@ -300,7 +314,7 @@ def key_rows_single(spark, sf_dir):
     return rows.select("record_id", _joined("key_values", lambda v: F.concat(v["attr"], F.lit("="), v["value"])).alias("k"), "start_ts", "end_ts")
 
 
-@register("""SELECT p.record_id, 'part=' || p.value || ',supp=' || q.value AS k, p.start_ts, p.end_ts FROM d_li p JOIN d_li q USING (record_id) WHERE p.attr = 'part' AND q.attr = 'supp'""")
+@register("SELECT record_id, 'part=' || l_partkey || ',supp=' || l_suppkey AS k, s AS start_ts, s + 31536000 AS end_ts FROM t_li")
 def key_rows_composite(spark, sf_dir):
     rows = ky.key_rows(*vw.lines(spark, sf_dir), vw.LINES)
     return rows.select("record_id", _joined("key_values", lambda v: F.concat(v["attr"], F.lit("="), v["value"])).alias("k"), "start_ts", "end_ts")
@@ -450,7 +464,7 @@ def indirect_conflicts(spark, sf_dir):
     return cf.indirect_conflicts(records, descriptors, records.select("record_id", F.col("record_id").alias("cluster_id")), ontology)
 
 
-@register("""
+_INSIDE = """
 st AS (SELECT cluster_id, record_id, value, start_ts, end_ts FROM v_ord WHERE attr = 'status'),
 m AS (SELECT *, max(end_ts) OVER (PARTITION BY cluster_id, value ORDER BY start_ts, end_ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM st),
 g AS (SELECT *, sum(CASE WHEN reach IS NULL OR start_ts > reach THEN 1 ELSE 0 END) OVER (PARTITION BY cluster_id, value ORDER BY start_ts, end_ts ROWS UNBOUNDED PRECEDING) AS island FROM m),
@@ -458,6 +472,10 @@ i AS (SELECT cluster_id, value, min(start_ts) AS s, max(end_ts) AS e FROM g GROU
 p AS (SELECT x.cluster_id, x.value AS value_a, y.value AS value_b, greatest(x.s, y.s) AS s, least(x.e, y.e) AS e FROM i x JOIN i y ON x.cluster_id = y.cluster_id AND x.value < y.value AND x.s < y.e AND y.s < x.e),
 pm AS (SELECT *, max(e) OVER (PARTITION BY cluster_id, value_a, value_b ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM p),
 pg AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY cluster_id, value_a, value_b ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM pm)
+"""
+
+
+@register(_INSIDE.strip() + """
 SELECT cluster_id, value_a, value_b, min(s) AS start_ts, max(e) AS end_ts,
   (SELECT string_agg(DISTINCT record_id, '+' ORDER BY record_id) FROM st WHERE st.cluster_id = pg.cluster_id AND st.value IN (pg.value_a, pg.value_b)) AS participants
 FROM pg GROUP BY cluster_id, value_a, value_b, island""")
@@ -490,6 +508,17 @@ su AS (SELECT DISTINCT 'direct' AS kind, c.attr AS attribute, c.start_ts, c.end_
 """
 
 
+@register(_SLICES.format(k="cluster_id, attr", v="v_ord").strip() + ",\n" + _INSIDE.strip() + """
+SELECT 'direct' AS kind, 'none' AS cause, 'none' AS status, (SELECT count(*) FROM vc) AS n
+UNION ALL SELECT 'constraint_violation', 'unique_status', 'violation', (SELECT count(*) FROM (SELECT DISTINCT cluster_id, value_a, value_b, island FROM pg))""")
+def observation_kinds(spark, sf_dir):
+    """All detectors at once under strong identifiers and a constraint; the orders have nothing for the indirect ones."""
+    records, descriptors, assignments = _ord(spark, sf_dir)
+    ontology = Ontology().add_identity_key("by_customer", "cust").add_strong_identifier("status").add_constraint("unique_status", "status", ConstraintKind.UNIQUE_WITHIN_PERSPECTIVE)
+    found = cf.observations(records, descriptors, assignments, ontology)
+    return found.groupBy("kind", F.coalesce("cause", F.lit("none")).alias("cause"), F.coalesce("status", F.lit("none")).alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def _summaries(spark, sf_dir) -> DataFrame:
     records, descriptors, assignments = _ord(spark, sf_dir)
     return cf.summarize(cf.observations(records, descriptors, assignments, vw.PLAIN_ORDERS), records)
@@ -624,6 +653,16 @@ def graph_counts(spark, sf_dir):
     return gr.export_graph(records, descriptors, assignments, vw.PLAIN_ORDERS).counts()
 
 
+@register("""
+SELECT 'record_' || record_id AS id, 'record' AS node_type, entity_type AS told, perspective AS root, uid AS size FROM r_ord
+UNION ALL SELECT 'cluster_' || cluster_id, 'cluster', NULL, CAST(cluster_id AS VARCHAR), CAST(count(*) AS VARCHAR) FROM a_ord GROUP BY cluster_id""")
+def graph_nodes(spark, sf_dir):
+    records, descriptors, assignments = _ord(spark, sf_dir)
+    p = F.col("properties")
+    nodes = gr.record_nodes(records).unionByName(gr.cluster_nodes(records, descriptors, assignments, vw.PLAIN_ORDERS))
+    return nodes.select("id", "node_type", p["entity_type"].alias("told"), F.coalesce(p["perspective"], p["root_record"]).alias("root"), F.coalesce(p["uid"], p["size"]).alias("size"))
+
+
 # ---- queries ----
 
 _HITS = """
@@ -635,8 +674,9 @@ hm AS (SELECT *, max(e) OVER (PARTITION BY cluster_id ORDER BY s ROWS BETWEEN UN
 hg AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY cluster_id ORDER BY s ROWS UNBOUNDED PRECEDING) AS island FROM hm),
 hit AS (SELECT cluster_id, min(s) AS start_ts, max(e) AS end_ts FROM hg GROUP BY cluster_id, island)
 """
-_ASKED = [("cust", "7"), ("status", "F")]
-_TWO = _HITS.format(asked="(attr = 'cust' AND value = '7') OR (attr = 'status' AND value = 'F')", n=2).strip()
+#: A customer with a finished order in that time in the tables of every size.
+_ASKED = [("cust", "9"), ("status", "F")]
+_TWO = _HITS.format(asked="(attr = 'cust' AND value = '9') OR (attr = 'status' AND value = 'F')", n=2).strip()
 _ONE = _HITS.format(asked="attr = 'status' AND value = 'F'", n=1).strip()
 
 
@@ -675,6 +715,22 @@ def query_offending_descriptors(spark, sf_dir):
     return qu.offending_descriptors(hits, conflict, asked)
 
 
+@register(_ONE + "\nSELECT * FROM hit")
+def query_of_parts(spark, sf_dir):
+    """The answers of two halves of the clusters as one."""
+    _, descriptors, assignments = _ord(spark, sf_dir)
+    halves = [qu.query_entities(descriptors, assignments.where(F.col("cluster_id") % 2 == k), [("status", "F")], 880_000_000, 910_000_000) for k in (0, 1)]
+    return qu.merge_outcomes(halves).matches
+
+
+@register(_ONE + """
+SELECT x.cluster_id AS cluster_a, y.cluster_id AS cluster_b, greatest(x.start_ts, y.start_ts) AS start_ts, least(x.end_ts, y.end_ts) AS end_ts
+FROM hit x JOIN hit y ON x.cluster_id < y.cluster_id AND x.start_ts < y.end_ts AND y.start_ts < x.end_ts WHERE x.cluster_id % 7 = 0 AND y.cluster_id % 7 = 0""")
+def query_all_overlaps(spark, sf_dir):
+    matches = _ask(spark, sf_dir, [("status", "F")]).matches.where(F.col("cluster_id") % 7 == 0)
+    return qu.overlap_conflict(matches, all_overlaps=True)
+
+
 @register(_TWO + ",\n" + _GOLDEN.strip() + """
 SELECT hit.cluster_id, hit.start_ts, hit.end_ts, (SELECT string_agg(attr || '=' || value || '@' || greatest(gold.start_ts, hit.start_ts) || ':' || least(gold.end_ts, hit.end_ts), ',' ORDER BY attr, value, gold.start_ts)
   FROM gold WHERE gold.cluster_id = hit.cluster_id AND gold.start_ts < hit.end_ts AND hit.start_ts < gold.end_ts) AS golden FROM hit""")
@@ -708,9 +764,9 @@ def crosswalk_latest(spark, sf_dir):
     return cw.latest(_crosswalks(spark, sf_dir), "seq").select("perspective", "uid", "canonical_id")
 
 
-@register(_XW + "SELECT perspective, uid, canonical_id, seq FROM x WHERE canonical_id = 'K7' AND start_ts < 30 AND end_ts > 20")
+@register(_XW + "SELECT perspective, uid, canonical_id, seq FROM x WHERE canonical_id = 'K11' AND start_ts < 30 AND end_ts > 20")
 def crosswalk_lookup(spark, sf_dir):
-    return cw.overlapping(cw.by_canonical_id(_crosswalks(spark, sf_dir), "K7"), 20, 30).select("perspective", "uid", "canonical_id", "seq")
+    return cw.overlapping(cw.by_canonical_id(_crosswalks(spark, sf_dir), "K11"), 20, 30).select("perspective", "uid", "canonical_id", "seq")
 
 
 @register(_XW + "SELECT r.record_id, x.canonical_id, x.start_ts, x.end_ts FROM r_cu r JOIN x USING (perspective, uid)")
@@ -782,6 +838,22 @@ def reconcile_summary(spark, sf_dir):
     return rc.reconcile(_boundaries(spark, sf_dir)).summary()
 
 
+@register(_BOUNDS.strip() + """
+SELECT DISTINCT cluster_a, cluster_b, start_ts, end_ts FROM bp WHERE perspectives IS NOT NULL
+  AND (cluster_a IN (SELECT cluster_id FROM bi WHERE shard = 2) OR cluster_b IN (SELECT cluster_id FROM bi WHERE shard = 2))""")
+def conflicts_of_shard(spark, sf_dir):
+    found = _boundaries(spark, sf_dir)
+    return rc.conflicts_of_shard(rc.reconcile(found).conflicts, found, 2).select("cluster_a", "cluster_b", "start_ts", "end_ts")
+
+
+@register(_BOUNDS.strip() + "\nSELECT DISTINCT cluster_a AS \"primary\", cluster_b AS secondary FROM bp WHERE perspectives IS NULL AND CAST(key AS BIGINT) % 3 = 0")
+def dirty_merges(spark, sf_dir):
+    """Reconciliation of the keys of some customers alone."""
+    some = vw.table(spark, sf_dir, "customer").where("c_custkey % 3 = 0")
+    key = F.array(F.struct(F.lit("cust").alias("attr"), F.col("c_custkey").cast("string").alias("value")))
+    return rc.reconcile(_boundaries(spark, sf_dir), some.select(F.hex(ky.signature(F.lit("order"), key)).alias("signature"))).merges
+
+
 @register(_BOUNDS.strip() + """,
 me AS (SELECT DISTINCT cluster_a AS a, cluster_b AS b FROM bp WHERE perspectives IS NULL),
 ed AS (SELECT a, b FROM me UNION SELECT b, a FROM me),

@@ -28,8 +28,10 @@ def invalid_records(nested: DataFrame) -> DataFrame:
 def flat(nested: DataFrame, record_id: Column | None = None, strict: bool = True) -> tuple[DataFrame, DataFrame]:
     """``records`` and ``descriptors`` of nested rows; wrong rows raise, or are left out unless ``strict``."""
     wrong = F.exists(F.coalesce("descriptors", F.array()), lambda d: d["start"] >= d["end"]) | F.col("identity").isNull()
+    for part in IDENTITY:
+        wrong = wrong | (F.coalesce(F.col(f"identity.{part}"), F.lit("")) == "")
     if strict:
-        checked = nested.withColumn("identity", F.when(F.coalesce(wrong, F.lit(False)), F.raise_error(F.lit("invalid record: no identity, or an interval that doesn't start before its end")).cast("struct<entity_type:string,perspective:string,uid:string>")).otherwise(F.col("identity")))
+        checked = nested.withColumn("identity", F.when(F.coalesce(wrong, F.lit(False)), F.raise_error(F.lit("invalid record: no full identity, or an interval that doesn't start before its end")).cast("struct<entity_type:string,perspective:string,uid:string>")).otherwise(F.col("identity")))
     else:
         checked = nested.where(~F.coalesce(wrong, F.lit(False)))
     named = checked.withColumn("record_id", F.col("index") if record_id is None else record_id)
@@ -76,19 +78,24 @@ def insert_if_absent(batch: DataFrame, stored: DataFrame, order: str = "record_i
     return met.select(F.col(order).alias("index"), F.coalesce("_known", "_first").alias("record_id"), inserted.alias("inserted"))
 
 
-def number_records(batch: DataFrame, after: int, order: str) -> DataFrame:
-    """record_id from ``after`` + 1 on in the order of ingest, gapless.
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``name``: 0, 1, 2, ... in the order of the columns ``order``.
 
-    Rows are ranged by the order column; each range's count gives the next one
-    its start, so no task sorts the whole batch.
+    Rows are ranged by these; each range's count gives the next one its start,
+    so no task sorts all rows.
     """
-    n = max(1, int(batch.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = materialise(batch.repartitionByRange(n, order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id()))
+    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = materialise(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
     counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("_part", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_start"))  # a row for each range
-    inside = Window.partitionBy("_part").orderBy(order)
-    return ranged.join(F.broadcast(starts), "_part").withColumn("record_id", F.lit(after) + F.col("_start") + F.row_number().over(inside)).drop("_part", "_start")
+    inside = Window.partitionBy("_part").orderBy(*order)
+    return ranged.join(starts, "_part").withColumn(name, F.col("_start") + F.row_number().over(inside) - 1).drop("_part", "_start")
+
+
+def number_records(batch: DataFrame, after: int, order: str) -> DataFrame:
+    """record_id from ``after`` + 1 on in the order of ingest, gapless."""
+    return numbered(batch, [order], "_number").withColumn("record_id", F.col("_number") + F.lit(after + 1)).drop("_number")
 
 
 # ---- scans ----------------------------------------------------------------------------------------------------------
@@ -98,6 +105,11 @@ def by_identity(records: DataFrame, entity_type: str, perspective: str, uid: str
     return records.where((F.col("entity_type") == entity_type) & (F.col("perspective") == perspective) & (F.col("uid") == uid))
 
 
+def by_ids(records: DataFrame, ids: list[int]) -> DataFrame:
+    """The records of a few ids; a filter that reaches the scan."""
+    return records.where(F.col("record_id").isin(ids))
+
+
 def by_entity_type(records: DataFrame, entity_type: str) -> DataFrame:
     return records.where(F.col("entity_type") == entity_type)
 

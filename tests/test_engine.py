@@ -524,3 +524,91 @@ def test_stream(spark, tmp_path):
     whole.ingest(nested(spark, PEOPLE))
     assert identity_clusters(engine) == identity_clusters(whole) and len(seen) == 3
     assert graph_updates(engine.graph().nodes, engine.graph().nodes).added.count() == 0
+
+
+# ---- interval index, growing stores, whole rows ----
+
+
+def test_interval_index_is_a_scan():
+    r = random.Random(4)
+    index, plain = ln.IntervalIndex(), []
+    index.BLOCK = 8
+    for i in range(900):
+        s = r.choice([r.randint(0, 300), r.randint(0, 300), -(2**62)])
+        e = s + r.choice([1, r.randint(1, 9), r.randint(1, 90), 2**62])
+        index.add(i, s, e)
+        plain.append((i, s, e))
+        a = r.randint(-5, 310)
+        b = a + r.choice([1, 5, 60])
+        assert index.overlapping(a, b) == [x for x in plain if x[1] < b and a < x[2]]
+    assert sorted(index) == sorted(plain)
+
+
+def test_long_key_is_replayed_without_a_scan():
+    """One key over many disjoint times: each record meets its neighbours only."""
+    run, n = ln.Replay(ln.LinkOptions("batch")), 30_000
+    times = list(range(n))
+    random.Random(1).shuffle(times)
+    for i, t in enumerate(times):
+        run.link(i, "p", {("p", "x"): {str(t % 2): [(3 * t, 3 * t + 2)]}}, [("k", "k", 3 * t, 3 * t + 2)])
+    assert len(set(run.clusters().values())) == n
+
+
+def test_growing_store_gives_what_one_batch_gives(spark, tmp_path):
+    """Batches in any order, with and without decisions, against one batch; parts are written as one now and then."""
+    r = random.Random(6)
+    rows = []
+    for i in range(1, 61):
+        s = r.randint(0, 40)
+        rows.append((i, r.choice(["crm", "erp"]), str(i), [("email", f"e{r.randint(0, 12)}", s, s + r.randint(1, 9)), ("name", f"n{r.randint(0, 20)}", s, s + 5)]))
+    o = Ontology().add_identity_key("email", "email").add_identity_key("name", "name")
+    whole = Engine(spark, str(tmp_path / "whole"), o)
+    whole.ingest(nested(spark, rows), keep_ids=True)
+    engine = Engine(spark, str(tmp_path / "parts"), o)
+    r.shuffle(rows)
+    for k in range(4):
+        engine.ingest(nested(spark, rows[15 * k : 15 * k + 15]), keep_ids=True, batch_id=5 - k)
+    assert clusters(engine.assignments) == clusters(whole.assignments) == clusters(ln.resolve(whole.records, whole.descriptors, o))
+    assert engine.store.manifest()["batches"] == [[2, 5]] and engine.store.committed(3) and not engine.store.committed(1)
+    assert engine.ingest(nested(spark, rows[:3]), batch_id=4).inserted == 0
+    copy = engine.checkpoint(str(tmp_path / "copy"))
+    assert clusters(Engine(spark, copy.root).assignments) == clusters(engine.assignments)
+    engine.store.prune(1)
+    assert clusters(engine.assignments) == clusters(whole.assignments)
+
+
+def test_store_falls_back_to_a_whole_version(spark, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path / "s"))
+    one = local_frame(spark, [(1,)], "record_id long")
+    assert store.save({"records": one}) == 1 and store.commit({"records": one}) == 2
+    assert store.load("records").count() == 2
+    store._fs().delete(store._path(store.parts("records")[1]), True)
+    assert store.repair() == 1 and store.load("records").count() == 1
+
+
+def test_routing_by_the_longest_interval(spark):
+    o = Ontology().add_identity_key("a", "a").add_identity_key("b", "b")
+    r, d = tables(spark, [(1, "p", "1", [("a", "1", 0, 5), ("b", "2", 0, 50)]), (2, "q", "2", [("b", "2", 7, 9)]), (3, "q", "3", [("a", "1", 0, 9), ("b", "3", 0, 4)]), (4, "q", "4", [])])
+    got = {x.record_id: x.shard for x in ky.route_by_time(r, d, o, 1 << 20).collect()}
+    assert got[1] == got[2] != got[3] and len(got) == 4
+
+
+def test_observations_carry_evidence(spark):
+    r, d = tables(spark, [(1, "crm", "1", [("email", "a", 0, 9), ("role", "x", 0, 9)]), (2, "crm", "2", [("email", "a", 0, 9), ("role", "y", 3, 9)])])
+    o = Ontology().add_identity_key("email", "email").add_constraint("one_role", "role")
+    told = {x.kind: x.evidence for x in cf.evidence(cf.observations(r, d, ln.resolve(r, d, o), o)).collect()}
+    assert told["direct"] == "different values of role at one time in [3, 9) by records 1, 2"
+    assert told["constraint_violation"].startswith("constraint one_role on role is violated in [3, 9)")
+
+
+def test_names_and_interval_limits_survive_json():
+    o = Ontology(key_intervals=None).add_strong_identifier("ssn", "social")
+    back = Ontology.from_json(o.to_json())
+    assert back.strong_identifiers[0].name == "social" and back.key_intervals is None
+
+
+def test_blank_identities_are_refused(spark):
+    bad = nested(spark, [(1, "", "1", [("email", "a", 0, 5)])])
+    with pytest.raises(Exception, match="invalid record"):
+        src.flat(bad)[0].collect()
+    assert src.flat(bad, strict=False)[0].count() == 0
