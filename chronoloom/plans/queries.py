@@ -391,17 +391,44 @@ def strong_id_resolution(spark, sf_dir):
     return ln.first_strong_clash(records, descriptors, vw.ORDERS, pairs).drop("attr")
 
 
-@register()
+#: A replay in record order as a recursion: ``z`` (comp, record_id, persp, val, s, e) holds the records of each key; a step takes the
+#: next pending cluster of the record at hand, or goes on to the next record and lists the clusters that overlap it.
+_REPLAY = """
+zc AS (SELECT comp, count(*) AS n, list(record_id ORDER BY record_id) AS ids, list(persp ORDER BY record_id) AS ps, list(val ORDER BY record_id) AS vs, list(s ORDER BY record_id) AS ss, list(e ORDER BY record_id) AS es FROM z GROUP BY comp HAVING count(*) > 1),
+zr AS (
+  SELECT comp, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(c BIGINT, s BIGINT, e BIGINT)[]) AS pend, range(1, n + 1) AS root, list_transform(range(n), lambda x: CAST(0 AS BIGINT)) AS rank, false AS closed,
+    CAST(NULL AS BIGINT) AS rec, CAST(NULL AS BIGINT) AS cand, CAST(NULL AS VARCHAR) AS outcome, CAST(NULL AS BIGINT) AS ls, CAST(NULL AS BIGINT) AS le FROM zc
+  UNION ALL
+  SELECT comp, CASE WHEN turn THEN i + 1 ELSE i END,
+    CASE WHEN NOT turn THEN pend[2:] WHEN closed OR i >= n THEN CAST([] AS STRUCT(c BIGINT, s BIGINT, e BIGINT)[])
+         ELSE list_transform(list_sort(list_distinct(list_transform(near, lambda j: root[j]))), lambda q: {{'c': q, 's': greatest(ss[list_filter(near, lambda j: root[j] = q)[1]], ss[i + 1]), 'e': least(es[list_filter(near, lambda j: root[j] = q)[1]], es[i + 1])}}) END,
+    CASE WHEN told = 'merged' THEN list_transform(root, lambda x: CASE WHEN x = low THEN high ELSE x END) ELSE root END,
+    CASE WHEN told = 'merged' AND rank[mine] = rank[now] THEN list_transform(range(1, n + 1), lambda x: rank[x] + CASE WHEN x = high THEN 1 ELSE 0 END) ELSE rank END,
+    closed OR coalesce(told = 'closed', false),
+    CASE WHEN told IS NOT NULL THEN ids[i] END, CASE WHEN told IS NOT NULL THEN ids[pend[1].c] END, told, CASE WHEN told IS NOT NULL THEN pend[1].s END, CASE WHEN told IS NOT NULL THEN pend[1].e END
+  FROM (SELECT *, CASE WHEN rank[mine] > rank[now] THEN now ELSE mine END AS low, CASE WHEN rank[mine] > rank[now] THEN mine ELSE now END AS high,
+      CASE WHEN turn OR mine = now THEN NULL WHEN {stream} AND ps[pend[1].c] = ps[i] AND list_contains(clash, ps[i]) THEN 'closed' WHEN len(clash) > 0 THEN 'vetoed' ELSE 'merged' END AS told
+    FROM (SELECT *, list_filter(range(1, i + 1), lambda j: turn AND ss[j] < es[i + 1] AND ss[i + 1] < es[j]) AS near,
+        CASE WHEN turn OR mine = now THEN CAST([] AS VARCHAR[]) ELSE list_transform(list_filter(range(1, n + 1), lambda x: root[x] = mine AND len(list_filter(range(1, n + 1), lambda y: root[y] = now AND ps[x] = ps[y] AND vs[x] <> vs[y] AND ss[x] < es[y] AND ss[y] < es[x])) > 0), lambda x: ps[x]) END AS clash
+      FROM (SELECT zr.*, n, ids, ps, vs, ss, es, len(pend) = 0 AS turn, root[i] AS mine, root[pend[1].c] AS now FROM zr JOIN zc USING (comp) WHERE i <= n)))),
+zl AS (SELECT comp, unnest(ids) AS record_id, unnest(root) AS root FROM zr JOIN zc USING (comp) WHERE i > n),
+zd AS (SELECT record_id, min(record_id) OVER (PARTITION BY comp, root) AS cluster_id FROM zl)
+"""
+_REPLAY_ORDERS = "z AS (SELECT CAST(o_custkey AS VARCHAR) AS comp, o_orderkey AS record_id, o_orderpriority AS persp, o_orderstatus AS val, s, s + 15552000 AS e FROM t_ord),\n" + _REPLAY.strip().format(stream="true")
+_REPLAY_LINES = "z AS (SELECT l_partkey || '-' || l_suppkey AS comp, record_id, l_linestatus AS persp, l_returnflag AS val, s, s + 31536000 AS e FROM t_li),\n" + _REPLAY.strip().format(stream="false")
+
+
+@register(_REPLAY_ORDERS + "\nSELECT record_id, coalesce(zd.cluster_id, record_id) AS cluster_id FROM r_ord LEFT JOIN zd USING (record_id)")
 def greedy_clusters_stream(spark, sf_dir):
     return ln.link_greedy(*vw.orders(spark, sf_dir), vw.ORDERS, ln.LinkOptions("stream"))
 
 
-@register()
+@register(_REPLAY_LINES + "\nSELECT record_id, coalesce(zd.cluster_id, record_id) AS cluster_id FROM t_li LEFT JOIN zd USING (record_id)")
 def greedy_clusters_batch(spark, sf_dir):
     return ln.link_greedy(*vw.lines(spark, sf_dir), vw.LINES, ln.LinkOptions("batch"))
 
 
-@register()
+@register(_REPLAY_ORDERS + "\nSELECT rec AS record_id, cand AS candidate, 'by_customer' AS key_name, outcome, ls AS start_ts, le AS end_ts FROM zr WHERE outcome IS NOT NULL")
 def greedy_merge_log(spark, sf_dir):
     return ln.merge_log(*vw.orders(spark, sf_dir), vw.ORDERS)
 
