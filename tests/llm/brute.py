@@ -158,3 +158,48 @@ def op10(docs, window=20):
         kept = [x for i, x in enumerate(w) if i not in gone]
         out[d] = (len(w), len(gone), sha(" ".join(kept)))
     return out
+
+
+def op2(docs, shards=40, overhead=16):
+    """Per document size and crc32, and the loads that longest-processing-time scheduling of equal texts gives."""
+    import heapq
+    import zlib
+
+    size = lambda t: len((t or "").encode()) + overhead
+    groups = {}
+    for _, t in docs:
+        groups[t] = groups.get(t, 0) + size(t)
+    heap = [0] * shards
+    for n in sorted(groups.values(), reverse=True):
+        heapq.heapreplace(heap, heap[0] + n)
+    return {d: (size(t), zlib.crc32((t or "").encode())) for d, t in docs}, sorted(heap)
+
+
+def kneser_ney(counts, order=4):
+    """The probability of a character after others by plain interpolated Kneser-Ney over one language's words."""
+    raw = [{} for _ in range(order)]
+    for word, n in counts.items():
+        padded = f" {word} "
+        for i in range(1, len(padded)):
+            gram = padded[max(0, i - order + 1) : i + 1]
+            raw[len(gram) - 1][gram] = raw[len(gram) - 1].get(gram, 0) + n
+    for size in range(order - 1, 0, -1):
+        for gram in raw[size]:
+            raw[size - 1][gram[1:]] = raw[size - 1].get(gram[1:], 0) + 1
+
+    def discount(table):
+        once, twice = (sum(v == k for v in table.values()) for k in (1, 2))
+        return min(0.9, max(0.1, once / max(once + 2 * twice, 1)))
+
+    off = [discount(t) for t in raw]
+
+    def probability(char, before, alphabet):
+        lower = probability(char, before[1:], alphabet) if before else 1 / (alphabet + 1)
+        table, d = raw[len(before)], off[len(before)]
+        total = sum(v for g, v in table.items() if g[:-1] == before)
+        if not total:
+            return lower
+        kinds = sum(g[:-1] == before for g in table)
+        return max(table.get(before + char, 0) - d, 0) / total + d * kinds / total * lower
+
+    return probability, set(raw[0])

@@ -137,6 +137,23 @@ def test_sharding(spark, docs, empty):
     assert sharding.assign(empty, shards=5).count() == 0
 
 
+def test_sharding_against_plain_scheduling(spark):
+    r = random.Random(12)
+    texts = ["x" * r.choice([1, 1, 2, 30, 400, r.randint(0, 3000)]) + str(r.randint(0, 40)) for _ in range(700)] + [None] * 30 + ["", ""] + ["hot"] * 400
+    rows = list(enumerate(texts))
+    told, loads = B.op2(rows, 7)
+    got = sharding.assign(spark.createDataFrame(rows, "doc_id long, text string"), shards=7).collect()
+    assert {x.doc_id: (x["size"], x.text_crc32) for x in got} == told
+    mine = [0] * 7
+    for x in got:
+        mine[x.shard] += x["size"]
+    assert sorted(mine) == loads
+    of = {}
+    for x in got:
+        of.setdefault(texts[x.doc_id], set()).add(x.shard)
+    assert all(len(v) == 1 for v in of.values())
+
+
 def test_size_classes_are_bounded_and_ordered(spark):
     sizes = [0, 1, 65_535, 65_536, 65_600, 131_071, 131_072, 10**9, 10**15]
     df = spark.createDataFrame([(s,) for s in sizes], "s long")
@@ -267,6 +284,22 @@ def test_models_are_distributions():
     assert h[0].argmin() == 0 and h[1].argmin() == 1 and letters.tolist() == [7, 5]
 
 
+def test_models_are_plain_kneser_ney():
+    r = random.Random(14)
+    word = lambda letters: "".join(r.choice(letters) for _ in range(r.randint(1, 7)))
+    counts = {"x": {word("abcd"): r.randint(1, 4) for _ in range(40)}, "y": {word("cdef"): r.randint(1, 9) for _ in range(30)}}
+    models = language_id.Models.fit(counts)
+    plain = {lang: B.kneser_ney(counts[lang]) for lang in counts}
+    alphabet = len(plain["x"][1] | plain["y"][1])
+    words = [word("abcdefgz") for _ in range(60)] + list(counts["x"])[:5]
+    got = models.word_scores(words)
+    for w, scores in zip(words, got, strict=True):
+        padded = f" {w} "
+        for k, lang in enumerate(models.langs):
+            expected = sum(np.log(plain[lang][0](padded[i], padded[max(0, i - 3) : i], alphabet)) for i in range(1, len(padded)))
+            assert abs(scores[k] - expected) < 1e-3 * len(padded), (w, lang)
+
+
 def test_gibberish_is_rejected(spark):
     rows = list(_languages())
     models = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
