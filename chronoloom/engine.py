@@ -13,7 +13,7 @@ from .operators import query as qu
 from .operators import reconcile as rc
 from .operators.cluster_keys import cluster_keys
 from .operators.golden import golden
-from .operators.components import connected_components
+from .operators.components import led_components
 from .operators.intervals import with_islands
 from .operators.keys import key_rows, key_text, route
 from .operators.linking import LinkOptions, decides_in_order, linker_metrics, merge_counts, resolve
@@ -127,7 +127,7 @@ class Engine:
         met = self._table("keys", KEYS).join(keys.select("k").distinct(), "k", "left_semi").join(before, "record_id")
         rows = met.select(F.col("cluster_id").alias("node"), "k", "start_ts", "end_ts").unionByName(keys.select(F.col("record_id").alias("node"), "k", "start_ts", "end_ts"))
         chains = with_islands(rows, ["k"], touching=False).withColumn("lead", F.min("node").over(Window.partitionBy("k", "island")))
-        parts = materialise(connected_components(chains.select(F.col("node").alias("a"), F.col("lead").alias("b"))))
+        parts = materialise(led_components(chains.select(F.col("node").alias("a"), F.col("lead").alias("b"))))
         new = fresh.select("record_id").join(parts, F.col("record_id") == F.col("node"), "left").select("record_id", F.coalesce("component", "record_id").alias("cluster_id"))
         renamed = parts.where("node <> component")
         moved = before.join(renamed, F.col("cluster_id") == F.col("node")).select("record_id", F.col("component").alias("cluster_id"))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..plans.ontology import Ontology
 from ..sources.shared import materialise
-from .components import connected_components, label
+from .components import label, led_components
 from .intervals import coalesce_intervals, with_islands
 from .keys import key_rows, key_text
 from ..sources.records import numbered
@@ -45,7 +45,7 @@ def link_islands(records: DataFrame, rows: DataFrame) -> DataFrame:
 def link_components(records: DataFrame, rows: DataFrame) -> DataFrame:
     """Clusters over all keys: records that overlap under any key, transitively."""
     edges = key_islands(rows).select(F.col("record_id").alias("a"), F.col("lead").alias("b"))
-    return label(records, connected_components(edges))
+    return label(records, led_components(edges))
 
 
 def strong_summary(records: DataFrame, descriptors: DataFrame, attrs: list[str], by: DataFrame | None = None) -> DataFrame:
@@ -288,12 +288,8 @@ def _replay(rows: pd.DataFrame, strong: pd.DataFrame, options: LinkOptions) -> R
 
 
 def _components(keyed: DataFrame, edges: DataFrame) -> DataFrame:
-    """(record_id, component) of the records of ``keyed``; a record with one lead (b) needs no rounds."""
-    leads = edges.groupBy("a").agg(F.min("b").alias("low"), F.max("b").alias("high"))
-    leads = materialise(leads)
-    if leads.where("low <> high").isEmpty():
-        return leads.select(F.col("a").alias("record_id"), F.col("low").alias("component"))
-    return label(keyed.select("record_id").distinct(), connected_components(edges)).withColumnRenamed("cluster_id", "component")
+    """(record_id, component) of the records of ``keyed``."""
+    return label(keyed.select("record_id").distinct(), led_components(edges)).withColumnRenamed("cluster_id", "component")
 
 
 def _overlap_edges(keyed: DataFrame) -> DataFrame:
