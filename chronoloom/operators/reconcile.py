@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .intervals import coalesce_intervals, segments
 from .keys import signature
 
 
@@ -19,16 +20,30 @@ def perspective_strong_hashes(records: DataFrame, descriptors: DataFrame, assign
     return each.groupBy("cluster_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("perspective", "h")))).alias("strong"))
 
 
-def boundary_index(rows: DataFrame, assignments: DataFrame, shards: DataFrame, strong: DataFrame) -> DataFrame:
+def boundary_index(rows: DataFrame, assignments: DataFrame, shards: DataFrame, strong: DataFrame, merged_only: bool = False) -> DataFrame:
     """(signature, shard, cluster_id, start_ts, end_ts, strong): the hull of each key's times in a cluster.
 
     ``rows`` are key rows, ``shards`` (record_id, shard) where records live.
+    With ``merged_only`` an entry needs two records that the key brought
+    together on its shard, and its hull is that of the times they share: fewer
+    entries, but a record alone on its shard is not found there.
     """
+    if merged_only:
+        return _merged_boundaries(rows, assignments, shards, strong)
     placed = rows.withColumn("signature", F.hex(signature(F.col("entity_type"), F.col("key_values")))).join(assignments, "record_id").join(shards, "record_id")
     spans = placed.groupBy("signature", "shard", "cluster_id").agg(F.min("start_ts").alias("start_ts"), F.max("end_ts").alias("end_ts"))
     return spans.join(strong, "cluster_id", "left").select("signature", "shard", "cluster_id", "start_ts", "end_ts", F.coalesce("strong", F.create_map().cast("map<string,bigint>")).alias("strong"))
 
 
+def _merged_boundaries(rows: DataFrame, assignments: DataFrame, shards: DataFrame, strong: DataFrame) -> DataFrame:
+    key = ["signature", "shard", "cluster_id"]
+    placed = rows.withColumn("signature", F.hex(signature(F.col("entity_type"), F.col("key_values")))).join(assignments, "record_id").join(shards, "record_id")
+    own = coalesce_intervals(placed.select(*key, "record_id", "start_ts", "end_ts"), [*key, "record_id"])
+    shared = segments(own.select(*key, F.lit(0).alias("tag"), "start_ts", "end_ts"), key).where("n >= 2")
+    spans = shared.groupBy(*key).agg(F.min("start_ts").alias("start_ts"), F.max("end_ts").alias("end_ts"))
+    return spans.join(strong, "cluster_id", "left").select(*key, "start_ts", "end_ts", F.coalesce("strong", F.create_map().cast("map<string,bigint>")).alias("strong"))
+
+
 @dataclass
 class Reconciliation:
     merges: DataFrame

@@ -842,6 +842,20 @@ def boundary_index(spark, sf_dir):
     return _boundaries(spark, sf_dir).select("shard", "cluster_id", "start_ts", "end_ts", F.size("strong").cast("long").alias("perspectives"))
 
 
+@register(_BOUNDS.strip() + """,
+bm AS (SELECT DISTINCT x.key, x.shard, x.cluster_id, greatest(x.start_ts, y.start_ts) AS s, least(x.end_ts, y.end_ts) AS e
+  FROM bo x JOIN bo y ON x.key = y.key AND x.shard = y.shard AND x.record_id < y.record_id AND x.start_ts < y.end_ts AND y.start_ts < x.end_ts)
+SELECT CAST(shard AS INT) AS shard, cluster_id, min(s) AS start_ts, max(e) AS end_ts FROM bm GROUP BY key, shard, cluster_id""")
+def merged_boundaries(spark, sf_dir):
+    """Entries of keys that brought two records of a shard together."""
+    records, descriptors = vw.orders(spark, sf_dir)
+    rows = ky.key_rows(records, descriptors, vw.PLAIN_ORDERS)
+    shards = records.select("record_id", (F.col("record_id") % 4).cast("int").alias("shard"))
+    local = rows.select("record_id", (F.col("record_id") % 4 * 1_000_000 + F.col("key_values")[0]["value"].cast("long")).alias("cluster_id"))
+    found = rc.boundary_index(rows, local, shards, rc.perspective_strong_hashes(records, descriptors, local, ["status"]), merged_only=True)
+    return found.select("shard", "cluster_id", "start_ts", "end_ts")
+
+
 @register(_BOUNDS.strip() + "\nSELECT cluster_id, start_ts, end_ts FROM bi WHERE key IN ('7', '14') AND start_ts < 910000000 AND end_ts > 800000000")
 def boundary_lookup(spark, sf_dir):
     found = _boundaries(spark, sf_dir)
@@ -915,6 +929,18 @@ def incremental_ingest(spark, sf_dir):
     return engine.assignments
 
 
+@register(_REPLAY_ORDERS + "\nSELECT record_id, coalesce(zd.cluster_id, record_id) AS cluster_id FROM r_ord LEFT JOIN zd USING (record_id)")
+def incremental_ingest_strong(spark, sf_dir):
+    """Orders with a strong identifier in two batches, the later records first: the replay goes by record order all the same."""
+    from ..engine import Engine
+
+    engine = Engine(spark, f"{shared_dir(spark)}/engine-{uuid.uuid4().hex}", vw.ORDERS)
+    rows = src.nested(*vw.orders(spark, sf_dir))
+    for k in (1, 0):
+        engine.ingest(rows.where(F.col("index") % 2 == k), keep_ids=True, batch_id=k)
+    return engine.assignments
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

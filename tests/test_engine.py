@@ -22,7 +22,7 @@ from chronoloom.plans.ontology import Constraint, ConstraintKind, Crosswalk, Ent
 from chronoloom.sources import records as src
 from chronoloom.sources.shared import local_frame
 from chronoloom.sources.store import SnapshotStore
-from chronoloom.streaming.ingest import batch_conflicts, graph_updates, ingest_stream, read_nested_stream
+from chronoloom.streaming.ingest import ReconcileLoop, batch_conflicts, graph_updates, ingest_by_shard, ingest_stream, ingest_with_updates, read_nested_stream
 
 IAM = lambda: Ontology().add_identity_key("email", "email").add_strong_identifier("ssn").add_constraint("unique_email", "email")
 
@@ -612,3 +612,30 @@ def test_blank_identities_are_refused(spark):
     with pytest.raises(Exception, match="invalid record"):
         src.flat(bad)[0].collect()
     assert src.flat(bad, strict=False)[0].count() == 0
+
+
+def test_a_batch_tells_what_it_changed(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "e"), IAM())
+    engine.ingest(nested(spark, PEOPLE[:2]), keep_ids=True)
+    told = ingest_with_updates(engine, nested(spark, [PEOPLE[2]]), keep_ids=True)
+    assert clusters(told.assignments) == {3: clusters(engine.assignments)[3]}
+    joined = clusters(engine.assignments)[3]
+    assert {(e.source, e.target) for e in told.same_as.added.collect()} >= {(joined, 3)}
+    assert "record_3" in {n.id for n in told.nodes.added.collect()} and told.same_as.removed.count() == 0
+    assert told.conflicts.count() == engine.observations(told.assignments.select("cluster_id")).count()
+
+
+def test_shards_ingest_and_reconcile_when_due(spark, tmp_path):
+    engines = [Engine(spark, str(tmp_path / f"s{k}"), IAM()) for k in range(2)]
+    assert sum(ingest_by_shard(engines, nested(spark, PEOPLE))) == 5
+    assert sum(e.records.count() for e in engines) == 5
+    engine = Engine(spark, str(tmp_path / "all"), IAM())
+    engine.ingest(nested(spark, PEOPLE), keep_ids=True)
+    now = [0.0]
+    loop = ReconcileLoop(2, rc.ReconcilePolicy(dirty_limit=1, min_gap_s=5), clock=lambda: now[0])
+    batch = nested(spark, PEOPLE[:1])
+    assert loop.after(engine, batch, 0) is not None and loop.rounds == 1
+    now[0] = 1.0
+    assert loop.after(engine, batch, 1) is None
+    now[0] = 9.0
+    assert loop.after(engine, batch, 2) is None and loop.rounds == 1  # nothing is dirty
