@@ -27,6 +27,11 @@ def overlapping(crosswalks: DataFrame, start: int, end: int) -> DataFrame:
     return crosswalks.where(iv.overlaps(iv.interval("start_ts", "end_ts"), iv.interval(start, end)))
 
 
+def active_at(crosswalks: DataFrame, at: int) -> DataFrame:
+    """The entries that hold at an instant."""
+    return crosswalks.where(iv.contains(iv.interval("start_ts", "end_ts"), F.lit(at)))
+
+
 def resolve_records(records: DataFrame, crosswalks: DataFrame) -> DataFrame:
     """(record_id, canonical_id, start_ts, end_ts) of records that a crosswalk knows."""
     return records.join(crosswalks, ["perspective", "uid"]).select("record_id", "canonical_id", "start_ts", "end_ts")

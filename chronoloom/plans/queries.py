@@ -796,6 +796,11 @@ def crosswalk_lookup(spark, sf_dir):
     return cw.overlapping(cw.by_canonical_id(_crosswalks(spark, sf_dir), "K11"), 20, 30).select("perspective", "uid", "canonical_id", "seq")
 
 
+@register(_XW + "SELECT perspective, uid, canonical_id, seq FROM x WHERE start_ts <= 25 AND 25 < end_ts")
+def crosswalk_active(spark, sf_dir):
+    return cw.active_at(_crosswalks(spark, sf_dir), 25).select("perspective", "uid", "canonical_id", "seq")
+
+
 @register(_XW + "SELECT r.record_id, x.canonical_id, x.start_ts, x.end_ts FROM r_cu r JOIN x USING (perspective, uid)")
 def crosswalk_records(spark, sf_dir):
     return cw.resolve_records(vw.customers(spark, sf_dir)[0], _crosswalks(spark, sf_dir))
