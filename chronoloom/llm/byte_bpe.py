@@ -141,13 +141,18 @@ class ByteLevelTokenizer:
         at = np.searchsorted(np.cumsum(self.byte_lens[ids]), ends, side="right")
         return ids, np.diff(at, prepend=0)
 
-    def encode_flat(self, column: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts one after another, ``end_id`` after each, and where each text's end."""
+    def encode_flat(self, column: pa.Array, end_id: int | None = None, kind=None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another (as ``kind``, else ``dtype``), ``end_id`` after each, and where each text's end."""
         parts = [self.cache.encode(part, () if end_id is None else (end_id,)) for part in text_slices(column)]
         if not parts:
-            return np.empty(0, self.dtype), np.empty(0, np.int64)
+            return np.empty(0, kind or self.dtype), np.empty(0, np.int64)
         before = np.cumsum([0] + [len(v) for v, _ in parts])
-        return np.concatenate([v for v, _ in parts]), np.concatenate([e + b for (_, e), b in zip(parts, before, strict=False)])
+        ends = np.concatenate([e + b for (_, e), b in zip(parts, before, strict=False)])
+        values = np.empty(before[-1], kind or self.dtype)
+        for k, at in enumerate(before[:-1].tolist()):  # parts go as they are copied
+            values[at : at + len(parts[k][0])] = parts[k][0]
+            parts[k] = None
+        return values, ends
 
     def encode(self, texts: list) -> list[np.ndarray]:
         values, ends = self.encode_flat(pa.array(texts, pa.string()))
@@ -177,8 +182,8 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", off
 
     @F.arrow_udf("array<int>")
     def ids_of(column: pa.Array) -> pa.Array:
-        values, ends = tokenizer(path).encode_flat(column)
-        return pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(values.astype(np.int32)))
+        values, ends = tokenizer(path).encode_flat(column, kind=np.int32)
+        return pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(values))
 
     @F.arrow_udf("array<array<int>>")
     def offsets_of(column: pa.Array, of: pa.Array) -> pa.Array:

@@ -24,13 +24,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces that a cache holds before it drops those used least; bounds a worker's memory, not the result.
-CACHE_ENTRIES = 800_000
+CACHE_ENTRIES = 400_000
 #: Values in the pool after which it is tidied up.
 POOL_VALUES = 1 << 24
 #: Longer pieces are not kept.
 CACHE_CHARS = 200
 #: Texts handed to a cache at once; longer ones are cut where a cut is exact anywhere.
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 5_000_000
 SLICE_ROWS = 8192
 #: Keys that say nothing of their own, and white space that keys may still hold.
 _BLANK = {"", " ", "\n", "\n "}
@@ -84,7 +84,7 @@ class PieceCache:
         self.encode_spaced, self.encode_other, self.encode_whole = encode_spaced, encode_other, encode_whole
         self.dtype, self.limit = np.dtype(dtype), limit
         self.pool, self.filled = np.empty(1 << 20, self.dtype), 0
-        self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
         self.used = np.zeros(1 << 16, np.int32)
         self.count = 1  # number 0 is the piece without values
         self.known: dict[str, int] = {}
@@ -95,11 +95,12 @@ class PieceCache:
         """Puts pieces into the pool; their numbers."""
         need, n = self.filled + len(values), self.count + len(sizes)
         if need > len(self.pool):
-            self.pool = np.concatenate([self.pool[: self.filled], np.empty(need, self.dtype)])
+            self.pool = np.concatenate([self.pool[: self.filled], np.empty(need - self.filled + need // 4, self.dtype)])
         if n > len(self.start):
-            grown = np.zeros(n, np.int64)
-            self.start, self.size = np.concatenate([self.start, grown]), np.concatenate([self.size, grown])
-            self.used = np.concatenate([self.used, np.zeros(n, np.int32)])
+            more = n - len(self.start) + n // 4
+            self.start = np.concatenate([self.start, np.zeros(more, np.int64)])
+            self.size = np.concatenate([self.size, np.zeros(more, np.int32)])
+            self.used = np.concatenate([self.used, np.zeros(more, np.int32)])
         self.pool[self.filled : need] = values
         self.start[self.count : n] = self.filled + np.cumsum(sizes) - sizes
         self.size[self.count : n] = sizes
@@ -111,8 +112,12 @@ class PieceCache:
     def _gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The values of pieces one after another, and how many each has."""
         sizes = self.size[numbers]
-        shift = self.start[numbers] - (np.cumsum(sizes) - sizes)
-        return self.pool[np.repeat(shift, sizes) + np.arange(int(sizes.sum()))], sizes
+        ends = np.cumsum(sizes, dtype=np.int64)
+        total = int(ends[-1]) if len(ends) else 0
+        kind = np.int32 if max(total, self.filled) < 1 << 31 else np.int64
+        at = np.repeat((self.start[numbers] - (ends - sizes)).astype(kind), sizes)
+        at += np.arange(total, dtype=kind)
+        return self.pool[at], sizes
 
     def _shrink(self) -> None:
         """Keeps the half of the pieces that most slices used; the pool holds nothing else afterwards."""
