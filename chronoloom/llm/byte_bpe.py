@@ -120,24 +120,19 @@ class ByteLevelTokenizer:
 
     def _spaced(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Words with a space before each, some as one text; their ids part at their bytes."""
-        return self._joined([self._run(" " + " ".join(words[at : at + RUN]), words[at : at + RUN], 1) for at in range(0, len(words), RUN)])
+        return self._parted([" " + " ".join(words[at : at + RUN]) for at in range(0, len(words), RUN)], b" ")
 
     def _other(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        lines = [p for p in pieces if p[0] == "\n"]
-        if len(lines) == len(pieces):
-            return self._joined([self._run("".join(lines[at : at + RUN]), lines[at : at + RUN], 0) for at in range(0, len(lines), RUN)])
+        if all(p[0] == "\n" for p in pieces):
+            return self._parted(["".join(pieces[at : at + RUN]) for at in range(0, len(pieces), RUN)], b"\n")
         made = [self._ids(p) for p in pieces]
         return np.concatenate(made), np.array([len(x) for x in made], np.int64)
 
-    @staticmethod
-    def _joined(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        return np.concatenate([r[0] for r in runs]), np.concatenate([r[1] for r in runs])
-
-    def _run(self, text: str, pieces: list[str], before: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of ``text`` and how many each of its pieces has, which have ``before`` more bytes ahead of each."""
-        ids = self._ids(text)
-        lens = map(len, pieces) if text.isascii() else [len(p.encode("utf-8", "surrogatepass")) for p in pieces]
-        ends = np.cumsum(np.fromiter(lens, np.int64, len(pieces)) + before)
+    def _parted(self, runs: list[str], opening: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of runs of pieces, and how many each piece has; a piece holds ``opening`` as its first byte alone."""
+        ids = np.concatenate([self._ids(run) for run in runs])
+        raw = np.frombuffer("".join(runs).encode("utf-8", "surrogatepass"), np.uint8)
+        ends = np.append(np.flatnonzero(raw == ord(opening))[1:], len(raw))
         at = np.searchsorted(np.cumsum(self.byte_lens[ids]), ends, side="right")
         return ids, np.diff(at, prepend=0)
 

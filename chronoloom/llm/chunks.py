@@ -36,6 +36,8 @@ SLICE_ROWS = 8192
 _BLANK = {"", " ", "\n", "\n "}
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
+#: Whether a byte is a letter or may belong to one.
+_LETTER = np.array([b >= 128 or chr(b).isalpha() for b in range(256)])
 
 
 def safe(key: str) -> bool:
@@ -44,6 +46,16 @@ def safe(key: str) -> bool:
     return bare != "" and bare == bare.strip()
 
 
+def _ends(keys: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first byte of each key, the last but one and the last; 0 where there is none."""
+    wide = np.int64 if pa.types.is_large_string(keys.type) else np.int32
+    at = np.frombuffer(keys.buffers()[1], wide)[keys.offset : keys.offset + len(keys) + 1].astype(np.int64)
+    data = np.append(np.frombuffer(keys.buffers()[2] or b"", np.uint8), np.uint8(0))
+    start, end = at[:-1], at[1:]
+    none = len(data) - 1
+    return tuple(data[np.where(end - start >= least, where, none)] for where, least in ((start, 1), (end - 2, 2), (end - 1, 1)))
+
+
 def text_slices(column: pa.Array) -> Iterator[pa.Array]:
     """Slices of a text column of a bounded number of rows and, but for single long texts, bytes."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -75,7 +87,7 @@ class PieceCache:
     ``encode_spaced(words)`` gives the values of words with a space before each,
     ``encode_other(pieces)`` those of pieces that start a text or with a newline,
     both as (flat values, number of each); ``encode_whole(text, spaced)`` serves
-    texts that can't be cut (``spaced``: with a space before).  ``marks``:
+    texts that can't be cut (``spaced``: with a space before).  ``marks``: ASCII
     characters that are always cut off when they end a piece after a letter, and
     their values.
     """
@@ -149,10 +161,11 @@ class PieceCache:
         firsts = np.concatenate([[0], ends[:-1]])
         coded = pieces.flatten().dictionary_encode()
         codes, opening = coded.indices.to_numpy(), firsts[~later]
-        numbers, unsure = self._numbers(coded.dictionary.to_pylist())
-        heads, whole = self._numbers([coded.dictionary[int(c)].as_py() + " " for c in codes[opening]]), np.zeros(n, bool)
-        of = numbers[codes]
-        of[opening], whole[~later] = heads
+        numbers, unsure = self._numbers(coded.dictionary)
+        starts, start_of = np.unique(codes[opening], return_inverse=True)
+        heads, odd = self._numbers(pa.array([k + " " for k in coded.dictionary.take(pa.array(starts)).to_pylist()], coded.dictionary.type))
+        of, whole = numbers[codes], np.zeros(n, bool)
+        of[opening], whole[~later] = heads[start_of], odd[start_of]
         if unsure.any():
             bad = unsure[codes]
             bad[opening] = False
@@ -172,50 +185,57 @@ class PieceCache:
         self.filled, self.count = kept
         return values, np.cumsum(sizes)[ends - 1][last_part]
 
-    def _numbers(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The numbers of keys, and which of them a cut isn't sure for."""
-        known = self.known
-        found = np.array(list(map(known.get, keys, repeat(-1))), np.int64)
+    def _numbers(self, keys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of distinct keys, and which of them a cut isn't sure for."""
+        words = keys.to_numpy(zero_copy_only=False)
+        found = np.fromiter(map(self.known.get, words.tolist(), repeat(-1)), np.int64, len(words))
         missing = np.flatnonzero(found < 0)
         if len(missing):
-            fresh = self._fresh({keys[i] for i in missing.tolist()})
-            found[missing] = [fresh.get(keys[i], -1) for i in missing.tolist()]
+            found[missing] = self._fresh(words[missing], keys.take(pa.array(missing)))
         unsure = found < 0
         found[unsure] = 0
         self.used[found] += 1
         return found, unsure
 
-    def _fresh(self, need: set) -> dict[str, int]:
-        """Numbers of pieces not seen before, without those that a cut isn't sure for."""
-        known, marks = self.known, self.mark_numbers
-        plain = need.isdisjoint(_BLANK) and not _OTHER_SPACE.search("".join(need))
-        spaced, other, ending, bases, of_marks = [], [], [], [], []
-        for k in need if plain else filter(safe, need):
-            last = k[-1]
-            if last in marks and k[-2:-1].isalpha():
-                ending.append(k)
-                bases.append(k[:-1])
-                of_marks.append(marks[last])
-            elif last == " " or k[0] == "\n":
-                other.append(k)
-            else:
-                spaced.append(k)
-        for k in set(bases).difference(known, need):
-            (other if k[0] == "\n" else spaced).append(k)
-        fresh: dict[str, int] = {}
-        if spaced:
-            fresh.update(zip(spaced, self._add(*self.encode_spaced(spaced)).tolist(), strict=True))
-        if other:
-            fresh.update(zip(other, self._add(*self.encode_other([k.removesuffix(" ") for k in other])).tolist(), strict=True))
-        if ending:
-            pairs = np.empty((len(ending), 2), np.int64)
-            pairs[:, 0] = [fresh[b] if b in fresh else known[b] for b in bases]
-            pairs[:, 1] = of_marks
+    def _fresh(self, words: np.ndarray, keys: pa.Array) -> np.ndarray:
+        """Numbers of distinct pieces not seen before, -1 for those that a cut isn't sure for; the same pieces as objects and in Arrow."""
+        known, out = self.known, np.full(len(words), -1, np.int64)
+        need = words.tolist()
+        sure = np.ones(len(words), bool)
+        if not _BLANK.isdisjoint(need) or _OTHER_SPACE.search("".join(need)):
+            sure[:] = list(map(safe, need))
+        first, before, last = _ends(keys)
+        mark_of = np.zeros(256, np.int64)  # 0: no mark
+        for m, number in self.mark_numbers.items():
+            mark_of[ord(m)] = number
+        marked = sure & (mark_of[last] > 0) & _LETTER[before]
+        far = np.flatnonzero(marked & (before >= 128))  # letter or not, only the character tells
+        marked[far] = [need[i][-2].isalpha() for i in far.tolist()]
+        other = (last == ord(" ")) | (first == ord("\n"))
+        bases = [k[:-1] for k in words[marked].tolist()]
+        more = list(set(bases).difference(known, need))
+        made: list[str] = []
+
+        def put(pieces: list[str], numbers: np.ndarray) -> None:
+            known.update(zip(pieces, numbers.tolist(), strict=True))
+            made.extend(pieces)
+
+        for kind, lines in ((sure & ~marked & ~other, False), (sure & ~marked & other, True)):
+            own = words[kind].tolist()
+            pieces = own + [k for k in more if (k[0] == "\n") == lines]
+            if pieces:
+                numbers = self._add(*(self.encode_other([k.removesuffix(" ") for k in pieces]) if lines else self.encode_spaced(pieces)))
+                out[kind] = numbers[: len(own)]
+                put(pieces, numbers)
+        if bases:
+            pairs = np.empty((len(bases), 2), np.int64)
+            pairs[:, 0] = [known[b] for b in bases]
+            pairs[:, 1] = mark_of[last[marked]]
             values, sizes = self._gather(pairs.ravel())
-            fresh.update(zip(ending, self._add(values, sizes.reshape(-1, 2).sum(1)).tolist(), strict=True))
-        known.update(fresh)
-        if max(map(len, fresh), default=0) > CACHE_CHARS:
-            for k in fresh:
+            out[marked] = self._add(values, sizes.reshape(-1, 2).sum(1))
+            put(words[marked].tolist(), out[marked])
+        if max(map(len, made), default=0) > CACHE_CHARS:
+            for k in made:
                 if len(k) > CACHE_CHARS:
                     del known[k]
-        return fresh
+        return out

@@ -68,8 +68,8 @@ class Codebook:
         ls = lengths[order].astype(np.int64)
         span = np.left_shift(1, LIMIT - ls)
         first = np.concatenate([[0], np.cumsum(span)])  # left-aligned codes
-        self.codes = np.zeros(len(lengths), np.uint64)
-        self.codes[order] = (first[:-1] >> (LIMIT - ls)).astype(np.uint64)
+        self.codes = np.zeros(len(lengths), np.uint32)
+        self.codes[order] = (first[:-1] >> (LIMIT - ls)).astype(np.uint32)
         self.symbol = np.zeros(1 << LIMIT, np.uint32)
         self.width = np.ones(1 << LIMIT, np.uint8)
         if len(order):
@@ -87,21 +87,27 @@ class Codebook:
 def encode_block(book: Codebook, ids: np.ndarray, doc_lens: np.ndarray) -> bytes:
     """One block of whole documents; ``ids`` are theirs one after another."""
     n = len(ids)
-    width = book.lengths[ids].astype(np.uint64)
-    if n and not width.all():
+    width, code = book.lengths[ids], book.codes[ids]
+    if not width.all():
         raise ValueError("an id has no code")
-    ends = np.cumsum(width, dtype=np.uint64)
+    if n % 2:
+        width, code = np.append(width, np.uint8(0)), np.append(code, np.uint32(0))
+    # two codes at a time, of 32 bits at most; with the bits before them in a word they fit 64
+    second = width[1::2]
+    code = (code[::2] << second) | code[1::2]
+    width = (width[::2] + second).astype(np.int64)
+    ends = np.cumsum(width)
     at = ends - width
     total = int(ends[-1]) if n else 0
-    word = at >> np.uint64(5)
-    value = book.codes[ids] << (np.uint64(64) - width - (at & np.uint64(31)))
+    word = at >> 5
+    value = code.astype(np.uint64) << (64 - width - (at & 31)).astype(np.uint64)
     out = np.zeros(total // 32 + 2, np.uint64)
     if n:
         starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-        rows = word[starts].astype(np.int64)
+        rows = word[starts]
         out[rows] += np.add.reduceat(value >> np.uint64(32), starts)
         out[rows + 1] += np.add.reduceat(value & np.uint64(0xFFFFFFFF), starts)
-    marks = at[::STEP].astype("<u8")
+    marks = at[:: STEP // 2].astype("<u8")
     body = out.astype(">u4").tobytes()[: (total + 7) // 8]
     head = _HEAD.pack(MAGIC, len(doc_lens), n, total)
     return b"".join([head, np.asarray(doc_lens, "<u4").tobytes(), marks.tobytes(), body])

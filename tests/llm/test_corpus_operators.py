@@ -70,6 +70,22 @@ def test_huffman_round_trip(size, n):
     assert (back == ids).all() and lens.tolist() == [n // 2, n - n // 2]
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 63, 64, 65, 5001])
+def test_huffman_bits_are_the_codes_one_after_another(n):
+    """Codes of every length up to the limit, packed two at a time, are the plain bit string with an offset every STEP codes."""
+    counts = [1, 1]
+    while len(counts) < 30:
+        counts.append(counts[-1] + counts[-2])
+    book = huffman.Codebook(huffman.code_lengths(np.array(counts)))
+    assert book.lengths.max() == huffman.LIMIT
+    ids = np.random.default_rng(n).integers(0, 30, n)
+    codes = [format(int(book.codes[i]), f"0{book.lengths[i]}b") for i in ids]
+    bits = "".join(codes)
+    marks = np.cumsum([0, *map(len, codes)])[:-1][:: huffman.STEP] if n else np.empty(0)
+    body = bytes(int(bits[k : k + 8].ljust(8, "0"), 2) for k in range(0, len(bits), 8))
+    assert huffman.encode_block(book, ids, np.array([n])).endswith(np.array([n], "<u4").tobytes() + marks.astype("<u8").tobytes() + body)
+
+
 def test_huffman_is_optimal_below_the_limit():
     import heapq
 
@@ -190,6 +206,23 @@ def test_piece_cache_is_only_a_cache(limit, monkeypatch):
     assert [x.tolist() for x in tok.encode(texts)] == ids
 
 
+def test_fresh_pieces_take_few_calls():
+    """New words, with marks, in lines and of any script, go to the library in runs; Python makes at most two calls for each."""
+    import cProfile
+    import pstats
+
+    r = random.Random(3)
+    words = ["".join(r.choice("abcdeéßñ") for _ in range(9)) + r.choice(["", ",", ".", "²,", ".,"]) for _ in range(6000)]
+    text = "".join(r.choice([" ", " ", "\n"]) + w for w in words)[1:]
+    tok, profile = byte_bpe.ByteLevelTokenizer.from_json(JSON), cProfile.Profile()
+    tok.encode(["some\nwords, imports done"])
+    profile.enable()
+    ids, _ = tok.encode_flat(pa.array([text, text]))
+    profile.disable()
+    assert ids.tolist() == 2 * tok.library.encode(text, add_special_tokens=False).ids
+    assert pstats.Stats(profile).total_calls < 2 * len(words)
+
+
 def test_long_texts_are_cut_where_it_is_exact(monkeypatch):
     """Texts beyond the bound go in parts, with the ids and counts of the whole."""
     texts = [" ".join(t for t in _fuzz(k, 60) if t) for k in range(30)] + [None, "ab cd", _passage]
