@@ -37,9 +37,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .chunks import text_slices
 from .common import materialise, scratch, slices, unique_name, unique_names
 from .substring_dedup import sequence_hashes, words_at
 
@@ -49,6 +51,8 @@ SHINGLE = 5
 BITS = 27
 #: Lower-cases A-Z and turns every other ASCII character but digits and letters into a space.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+#: Whether a byte is part of a word.
+_INSIDE = np.array([b != 32 for b in _TABLE])
 _HITS = "struct<n_words:bigint,runs:array<int>,full_runs:array<int>,items:array<string>>"
 _ROWS = 20_000
 
@@ -68,6 +72,23 @@ def windows_of(words: list[bytes], window: int) -> list[tuple[bytes, ...]]:
     return [tuple(words[i : i + size]) for i in range(len(words) - size + 1)]
 
 
+def count_words(column: pa.Array) -> pa.Array:
+    """The number of words of each text, from the bytes of a slice at once; null has none."""
+    counts = [np.empty(0, np.int64)]
+    for part in text_slices(column):
+        part = pc.fill_null(part, "")
+        wide = np.int64 if pa.types.is_large_string(part.type) else np.int32
+        at = np.frombuffer(part.buffers()[1], wide)[part.offset : part.offset + len(part) + 1].astype(np.int64)
+        inside = _INSIDE[np.frombuffer(part.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]]
+        at -= at[0]
+        first = inside.copy()
+        first[1:] &= ~inside[:-1]
+        opening = at[:-1][at[:-1] < len(inside)]
+        first[opening] = inside[opening]  # a text's first word starts whatever the text before it ends with
+        counts.append(np.diff(np.searchsorted(np.flatnonzero(first), at)))
+    return pa.array(np.concatenate(counts))
+
+
 def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
     """64-bit hashes (as long) of runs of ``width`` words, other ones for each width."""
     if len(words) < width:
@@ -228,7 +249,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = 13, out: str
     """Adds ``out``: n_words, runs and full_runs ([start, length, ...] of hit words; by any window, by windows of full
     size) and the ids of the items found."""
     docs = docs.drop(out) if out not in ("doc_id", "text") else docs
-    a, b, ka, kb, found = unique_names(docs, "a", "b", "ka", "kb", "found")
+    a, b, ka, kb, n_words, found = unique_names(docs, "a", "b", "ka", "kb", "n_words", "found")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     with scratch(docs.sparkSession) as keep:
@@ -240,16 +261,17 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = 13, out: str
         spans = hits.groupBy("a", "b").agg(F.collect_set(span).alias("runs"), F.collect_set(F.when(F.col("size") >= window, span)).alias("full"))
         told = spans.select("a", "b", merged("runs").alias("runs"), merged("full").alias("full_runs")).join(names, ["a", "b"])
         told = keep(materialise(told.select(F.col("a").alias(ka), F.col("b").alias(kb), F.struct("runs", "full_runs", "items").alias(found)), "hits"))
-    n_words = F.regexp_count(text, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long")
+    # counted before the join, so that texts needn't pass it for that
+    counted = keyed.withColumn(n_words, F.arrow_udf(count_words, "long")(text))
     none = F.array().cast("array<int>")
     made = F.struct(
-        n_words.alias("n_words"),
+        F.col(n_words).alias("n_words"),
         F.coalesce(F.col(found).runs, none).alias("runs"),
         F.coalesce(F.col(found).full_runs, none).alias("full_runs"),
         F.coalesce(F.col(found).items, F.array().cast("array<string>")).alias("items"),
     )
-    met = keyed.join(told, (F.col(a) == F.col(ka)) & (F.col(b) == F.col(kb)), "left")
-    return met.withColumn(out, made.cast(_HITS)).drop(a, b, ka, kb, found)
+    met = counted.join(told, (F.col(a) == F.col(ka)) & (F.col(b) == F.col(kb)), "left")
+    return met.withColumn(out, made.cast(_HITS)).drop(a, b, ka, kb, n_words, found)
 
 
 def hit_words(runs: str):

@@ -482,6 +482,18 @@ def test_decontamination(spark, docs, monkeypatch, bits):
     assert got == B.op9(PAIRS, [(i, t) for i, t in ITEMS if i is not None])
 
 
+def test_words_are_counted_without_making_them(spark, docs):
+    odd = ["a", "A-b", "-", "x", "é", "\u0300", "", None, "中 文", "a" * 70_000, "a b " * 9, "Z[`{9:/", "\x00\x7f\x80"]
+    of = pa.array(["cut off", *TEXTS, *odd])[1:]  # a slice
+    want = [B.op9([(0, t)], [])[0][0] for t in [*TEXTS, *odd]]
+    for kind in (pa.string(), pa.large_string()):
+        assert decontaminate.count_words(of.cast(kind)).to_pylist() == want
+    assert decontaminate.count_words(pa.array([], pa.string())).to_pylist() == []
+    found = decontaminate.find_hits(docs, spark.createDataFrame(ITEMS, "item_id long, text string"), 13)
+    plan = found._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "regexp" not in plan and "count_words" in plan  # an array of a text's words costs more than all else
+
+
 def test_decontamination_of_nothing(spark, docs, empty):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     assert decontaminate.keep_clean(docs, items.limit(0)).count() == len(TEXTS)
