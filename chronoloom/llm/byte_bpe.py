@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import PieceCache, text_slices
-from .common import with_columns
+from .common import release, with_columns
 
 
 @lru_cache(maxsize=1)
@@ -149,6 +149,12 @@ class ByteLevelTokenizer:
             parts[k] = None
         return values, ends
 
+    def encode_lists(self, column: pa.Array) -> pa.Array:
+        """The ids of each text as a list of int; what encoding took besides is given back."""
+        values, ends = self.encode_flat(column, kind=np.int32)
+        release()
+        return pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(values))
+
     def encode(self, texts: list) -> list[np.ndarray]:
         values, ends = self.encode_flat(pa.array(texts, pa.string()))
         return np.split(values, ends[:-1]) if len(ends) else []
@@ -177,8 +183,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", off
 
     @F.arrow_udf("array<int>")
     def ids_of(column: pa.Array) -> pa.Array:
-        values, ends = tokenizer(path).encode_flat(column, kind=np.int32)
-        return pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(values))
+        return tokenizer(path).encode_lists(column)
 
     @F.arrow_udf("array<array<int>>")
     def offsets_of(column: pa.Array, of: pa.Array) -> pa.Array:
@@ -202,6 +207,9 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", data: str = "decoded
         values = column.values.to_numpy(zero_copy_only=False)
         valid = column.is_valid().to_numpy(zero_copy_only=False)
         made = [tok.decode(values[a:b].tolist()) if ok else b"" for a, b, ok in zip(starts[:-1], starts[1:], valid, strict=True)]
-        return pa.array(made, pa.binary())
+        out = pa.array(made, pa.binary())
+        del made
+        release()
+        return out
 
     return with_columns(encoded, {data: bytes_of(F.col(ids))})

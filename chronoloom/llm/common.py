@@ -6,11 +6,14 @@ folder that all executors see), so a lost executor never takes data with it.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
+from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -114,6 +117,18 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+@lru_cache(maxsize=1)
+def _trim() -> Callable[[int], int]:
+    """The C library's way to give freed memory back; not all have one."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
+
+def release() -> None:
+    """Gives memory that is free back to the system: a Python worker stays for later tasks, and else keeps what its largest batch took."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def slices(column) -> Iterator[list]:
     """Python values of an Arrow column, a bounded number of rows and bytes at a time."""
     n, at = len(column), 0

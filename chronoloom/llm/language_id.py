@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, unique_name
+from .common import release, slices, unique_name
 
 ORDER = 4
 #: Labelled documents of each language that fit the models; the bound of all that is gathered.
@@ -290,6 +290,7 @@ def identify(docs: DataFrame, models: Models, text: str = "text", out: str = "la
     def predict(column: pa.Array) -> pa.Array:
         rows = [r for part in slices(column) for r in models.predict(part)]
         columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
+        release()
         kinds = (pa.string(), pa.float64(), pa.float64(), pa.bool_())
         return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["lang", "score", "cross_entropy", "rejected"])
 

@@ -3,6 +3,7 @@ and clashing column names."""
 
 import os
 import random
+import subprocess
 import sys
 
 import numpy as np
@@ -467,6 +468,34 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+# ---- memory of workers ----
+
+_HELD = """
+import random, re, sys
+import public_tokenizers
+import pyarrow as pa
+from chronoloom.llm import byte_bpe
+anon = lambda: int(re.search(r"Anonymous:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1]) / 1024
+tok = byte_bpe.tokenizer(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+encode = getattr(tok, "encode_lists", tok.encode_flat)
+r = random.Random(1)
+words = ["%x" % r.getrandbits(24) for _ in range(60_000)]
+before = anon()
+for _ in range(3):
+    column = pa.array([" ".join(r.choices(words, k=300)) for _ in range(15_000)])
+    made = encode(column)
+    del column, made
+print(anon() - before)
+"""
+
+
+@pytest.mark.skipif(not os.path.exists("/proc/self/smaps_rollup"), reason="memory can't be read")
+def test_encoding_gives_memory_back():
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    made = subprocess.run([sys.executable, "-c", _HELD], env=os.environ | {"PYTHONPATH": root}, capture_output=True, text=True, check=True, timeout=300)
+    assert float(made.stdout) < 60  # MB: what is remembered, and the last ids
+
+
 # ---- 9: decontamination ----
 
 ITEMS = [(0, " ".join(_passage.split()[:30])), (1, "The of straße"), (2, None), (3, "..."), (None, "a"), (4, "42 42"), (4, "42 42"), (10, " ".join(_passage.split()[20:50]))]
