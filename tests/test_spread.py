@@ -26,3 +26,12 @@ def test_interval_sets_follow_their_input(spark, tmp_path, monkeypatch):
         assert made.rdd.getNumPartitions() > 10  # 2 by the session
 
 
+def test_one_bucket_is_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(ops, "TILE_ROWS", 10, raising=False)
+    a = spark.range(60).select(F.col("id").alias("a"), F.lit(0).cast("long").alias("start_ts"), F.lit(5).cast("long").alias("end_ts"))
+    b = spark.range(40).select(F.col("id").alias("b"), F.lit(2).cast("long").alias("start_ts"), F.lit(9).cast("long").alias("end_ts"))
+    met = ops.bucketed_overlap_join(a, b, 100, 0, 100).select("a", "b_r", F.spark_partition_id().alias("p"))
+    rows = met.collect()
+    assert sorted((r.a, r.b_r) for r in rows) == [(x, y) for x in range(60) for y in range(40)]
+    tasks = [r.p for r in rows]
+    assert max(tasks.count(p) for p in set(tasks)) < len(rows) / 3
