@@ -6,17 +6,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import interval as iv
-from .intervals import coalesce_intervals, segments
+from .intervals import coalesce_intervals, dealt, segments
 
 
 def cluster_values(descriptors: DataFrame, assignments: DataFrame) -> DataFrame:
-    return descriptors.join(assignments, "record_id").select("cluster_id", "record_id", "attr", "value", "start_ts", "end_ts")
+    return dealt(descriptors, ["record_id"]).join(assignments, "record_id").select("cluster_id", "record_id", "attr", "value", "start_ts", "end_ts")
 
 
 def golden(descriptors: DataFrame, assignments: DataFrame) -> DataFrame:
     """(cluster_id, attr, value, start_ts, end_ts): the times at which a value is the only one of its attribute."""
     keys = ["cluster_id", "attr"]
-    merged = coalesce_intervals(cluster_values(descriptors, assignments).drop("record_id"), [*keys, "value"])
+    merged = coalesce_intervals(dealt(cluster_values(descriptors, assignments).drop("record_id"), keys), [*keys, "value"])
     tagged = merged.withColumn("tag", F.dense_rank().over(Window.partitionBy(*keys).orderBy("value")))
     alone = segments(tagged, keys).where("n = 1").withColumnRenamed("tag_sum", "tag")
     whole = coalesce_intervals(alone.select(*keys, "tag", "start_ts", "end_ts"), [*keys, "tag"])
