@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.tokens import key_suffix, token_of
 from ..plans.ontology import Ontology
 from .golden import cluster_values
+from .intervals import dealt
 
 
 def dominant_entity_type(records: DataFrame, assignments: DataFrame) -> DataFrame:
@@ -45,12 +46,12 @@ def cluster_signatures(records: DataFrame, descriptors: DataFrame, assignments:
     who = assignments.join(records, "record_id").select("cluster_id", F.concat(F.lit("record:"), F.concat_ws(":", "entity_type", "perspective", "uid")).alias("part"))
     at = F.concat(F.col("start_ts").cast("string"), F.lit(":"), F.col("end_ts").cast("string"))
     what = cluster_values(descriptors, assignments).select("cluster_id", F.concat("attr", F.lit("="), "value", F.lit("@"), at).alias("part"))
-    return who.unionByName(what).groupBy("cluster_id").agg(F.array_join(F.array_sort(F.collect_list("part")), "|").alias("signature"))
+    return dealt(who.unionByName(what), ["cluster_id"]).groupBy("cluster_id").agg(F.array_join(F.array_sort(F.collect_list("part")), "|").alias("signature"))
 
 
 def cluster_seeds(records: DataFrame, descriptors: DataFrame, assignments: DataFrame, ontology: Ontology) -> DataFrame:
     """(cluster_id, entity_type, identity_key, tokens, material)."""
-    values = cluster_values(descriptors, assignments)
+    values = dealt(cluster_values(descriptors, assignments), ["cluster_id"])
     types = dominant_entity_type(records, assignments).join(cluster_signatures(records, descriptors, assignments), "cluster_id")
     named = {t.name: ontology.key_attributes_for_type(t.name) for t in ontology.entity_types.values() if t.key_attributes}
     default = Ontology(identity_keys=ontology.identity_keys).key_attributes_for_type("")
@@ -79,14 +80,13 @@ def cluster_seeds(records: DataFrame, descriptors: DataFrame, assignments: DataF
 
 def cluster_keys(records: DataFrame, descriptors: DataFrame, assignments: DataFrame, ontology: Ontology) -> DataFrame:
     """(cluster_id, cluster_key, identity_key): of each type the shortest run of tokens that one cluster has alone."""
-    seeds = cluster_seeds(records, descriptors, assignments, ontology)
-    widest = seeds.groupBy("entity_type").agg(F.max(F.size("tokens")).alias("width"))
-    padded = seeds.join(widest, "entity_type").withColumn("tokens", F.concat("tokens", F.array_repeat(F.lit("UNK"), F.col("width") - F.size("tokens"))))
-    prefixes = padded.select("entity_type", "cluster_id", F.explode(F.sequence(F.lit(1), F.col("width"))).alias("len"), "tokens")
+    # a type's seeds are of one plan, so they have equally many tokens
+    seeds = cluster_seeds(records, descriptors, assignments, ontology).withColumn("width", F.size("tokens"))
+    prefixes = seeds.select("entity_type", "cluster_id", F.explode(F.sequence(F.lit(1), F.col("width"))).alias("len"), "tokens")
     prefixes = prefixes.withColumn("prefix", F.array_join(F.slice("tokens", 1, F.col("len")), "-"))
     alone = prefixes.groupBy("entity_type", "len", "prefix").agg(F.count(F.lit(1)).alias("n"), F.min("cluster_id").alias("cluster_id")).where("n = 1")
     shortest = alone.groupBy("cluster_id").agg(F.min("len").alias("len"))
-    met = padded.join(shortest, "cluster_id", "left")
+    met = seeds.join(shortest, "cluster_id", "left")
     base = F.array_join(F.slice("tokens", 1, F.coalesce("len", "width")), "-")
     key = F.concat(F.when(base == "", "UNK").otherwise(base), F.lit("-"), key_suffix(F.col("material")))
     return met.select("cluster_id", key.alias("cluster_key"), "identity_key")
