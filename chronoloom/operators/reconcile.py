@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .intervals import coalesce_intervals, segments
+from .intervals import coalesce_intervals, dealt, segments
 from .keys import signature
 
 
@@ -38,7 +38,7 @@ def boundary_index(rows: DataFrame, assignments: DataFrame, shards: DataFrame, s
 def _merged_boundaries(rows: DataFrame, assignments: DataFrame, shards: DataFrame, strong: DataFrame) -> DataFrame:
     key = ["signature", "shard", "cluster_id"]
     placed = rows.withColumn("signature", F.hex(signature(F.col("entity_type"), F.col("key_values")))).join(assignments, "record_id").join(shards, "record_id")
-    own = coalesce_intervals(placed.select(*key, "record_id", "start_ts", "end_ts"), [*key, "record_id"])
+    own = coalesce_intervals(dealt(placed.select(*key, "record_id", "start_ts", "end_ts"), key), [*key, "record_id"])
     shared = segments(own.select(*key, F.lit(0).alias("tag"), "start_ts", "end_ts"), key).where("n >= 2")
     spans = shared.groupBy(*key).agg(F.min("start_ts").alias("start_ts"), F.max("end_ts").alias("end_ts"))
     return spans.join(strong, "cluster_id", "left").select(*key, "start_ts", "end_ts", F.coalesce("strong", F.create_map().cast("map<string,bigint>")).alias("strong"))
