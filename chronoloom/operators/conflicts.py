@@ -11,7 +11,7 @@ from ..functions import interval as iv
 from ..plans.ontology import ConstraintKind, Ontology
 from ..sources.shared import local_frame
 from .golden import cluster_values
-from .intervals import coalesce_intervals, segments, with_islands
+from .intervals import coalesce_intervals, dealt, segments, with_islands
 
 
 def _participants(column: str = "record_id") -> Column:
@@ -26,7 +26,7 @@ def value_islands(values: DataFrame, keys: list[str]) -> DataFrame:
 
 def conflict_slices(values: DataFrame, keys: list[str]) -> DataFrame:
     """Slices in which two values or more are active: (keys, start_ts, end_ts, values)."""
-    islands = value_islands(values, keys)
+    islands = value_islands(dealt(values, keys), keys)
     contested = segments(islands.withColumn("tag", F.lit(0)), keys).where("n >= 2").select(*keys, "start_ts", "end_ts")
     x, y = contested.alias("x"), islands.alias("y")
     on = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in keys] + [F.col("y.start_ts") <= F.col("x.start_ts"), F.col("y.end_ts") >= F.col("x.end_ts")]
@@ -117,7 +117,7 @@ def indirect_conflicts(records: DataFrame, descriptors: DataFrame, assignments:
 
 def unique_in_cluster(descriptors: DataFrame, assignments: DataFrame, attribute: str, name: str) -> DataFrame:
     """Two values of a unique attribute at once within a cluster, with all holders of either."""
-    values = cluster_values(descriptors.where(F.col("attr") == attribute), assignments)
+    values = dealt(cluster_values(descriptors.where(F.col("attr") == attribute), assignments), ["cluster_id"])
     holders = values.groupBy("cluster_id", "value").agg(_participants().alias("holders"))
     merged = coalesce_intervals(values.select("cluster_id", "value", "start_ts", "end_ts"), ["cluster_id", "value"])
     x, y = merged.alias("x"), merged.alias("y")
